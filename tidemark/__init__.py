@@ -1,3 +1,10 @@
 """tidemark: point-in-time event analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to executors by value, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
