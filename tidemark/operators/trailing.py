@@ -211,7 +211,7 @@ def p4_found(spark, sf_dir):
 
 def p4_totals(spark, sf_dir):
     t = p4_trailing(spark, sf_dir)
-    return t.select("ticker", "trade_date", *[F.col(c).cast("bigint").alias(c) for c in ("days_back", "days", "usable")], *[F.round(c, 6).alias(c) for c in ("total", "average", "volatility")], F.round("beta", 4).alias("beta"))
+    return t.select("ticker", "trade_date", *[F.col(c).cast("bigint").alias(c) for c in ("days_back", "days", "usable")], *[F.round(c, 8).alias(c) for c in ("total", "average", "volatility")], F.round("beta", 4).alias("beta"))
 
 
 def p4_late_corrections(spark, sf_dir):
