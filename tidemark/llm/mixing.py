@@ -121,7 +121,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, fo
 
     The mixture is as large as the scarcest source, repeated as often as it may be,
     allows. First the expected domain tokens are fitted, then the whole copies are
-    checked by recorded source and the same steps go on until they match. Documents
+    checked by recorded source and the same steps go on until they match; the closest
+    of these counts (a single very long text may be a visible part of a small mixture). Documents
     of a source without target have rate 0; null targets and repeats count as 0 and 1.
     """
     goal = {r["source"]: (float(r["t"] or 0), int(r["m"] or 1)) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m")).collect()}
@@ -150,14 +151,17 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, fo
         if np.abs(gap).max() < DONE:
             break
         history.append((gap * total / once).tolist())
+    best = (np.inf, list(history))
     for _ in range(EXACT_STEPS):
         whole = table.where(known).select("source", (F.col("tokens") * copies(rate(history, F.col("member"), F.col("cap")))).alias("n")).groupBy("source").agg(F.sum("n").alias("n"))
         n = {r["source"]: float(r["n"] or 0) for r in whole.collect()}
         got = np.array([n.get(d, 0.0) for d in domains])
         gap = got / max(got.sum(), 1.0) - t
-        if np.abs(gap).max() < DONE:
+        best = min(best, (float(np.abs(gap).max()), list(history)), key=lambda x: x[0])
+        if best[0] < DONE:
             break
-        history.append((0.8 * gap * total / once).tolist())
+        history.append((0.6 * gap * total / once).tolist())
+    history = best[1]
     return table.select("doc_id", "source", "tokens", F.round(rate(history, F.col("member"), F.col("cap")), 6).alias("rate"), copies(rate(history, F.col("member"), F.col("cap"))).alias("copies"))
 
 
