@@ -143,10 +143,19 @@ def correct_trees(trees: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def spans(returns: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(ticker, first_no, last_no): the trading days between a ticker's first and last row, both included."""
+    """(ticker, first_no, last_no): the trading days between a ticker's first and last row, both included.
+
+    Every date of the calendar's range, trading day or not, knows its next and last
+    trading day, so the ends of a span are looked up by equality.
+    """
+    ends = calendar.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
+    dates = ends.select(F.explode(F.sequence("lo", "hi")).alias("d")).join(calendar.select(F.col("trade_date").alias("d"), "day_no"), "d", "left")
+    o = Window.orderBy("d")
+    dates = F.broadcast(dates.select("d", F.first("day_no", True).over(o.rowsBetween(0, Window.unboundedFollowing)).alias("next_no"), F.last("day_no", True).over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("last_no")))
     r = returns.select(canonical_ticker(F.col("ticker")).alias("ticker"), "trade_date").where("ticker is not null and trade_date is not null").groupBy("ticker").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z"))
-    inside = r.join(F.broadcast(calendar.select("trade_date", "day_no")), F.col("trade_date").between(F.col("a"), F.col("z")))
-    return inside.groupBy("ticker").agg(F.min("day_no").alias("first_no"), F.max("day_no").alias("last_no"))
+    r = r.crossJoin(F.broadcast(ends)).where("a <= hi and z >= lo").select("ticker", F.greatest("a", "lo").alias("a"), F.least("z", "hi").alias("z"))
+    first, last = dates.select(F.col("d").alias("a"), F.col("next_no").alias("first_no")), dates.select(F.col("d").alias("z"), "last_no")
+    return r.join(first, "a").join(last, "z").where("first_no <= last_no").select("ticker", "first_no", "last_no")
 
 
 def trailing(trees: DataFrame, span: DataFrame, calendar: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -211,7 +220,7 @@ def p4_found(spark, sf_dir):
 
 def p4_totals(spark, sf_dir):
     t = p4_trailing(spark, sf_dir)
-    return t.select("ticker", "trade_date", *[F.col(c).cast("bigint").alias(c) for c in ("days_back", "days", "usable")], *[F.round(c, 8).alias(c) for c in ("total", "average", "volatility")], F.round("beta", 4).alias("beta"))
+    return t.select("ticker", "trade_date", *[F.col(c).cast("bigint").alias(c) for c in ("days_back", "days", "usable")], *[F.round(c, k).alias(c) for c, k in (("total", 8), ("average", 12), ("volatility", 8))], F.round("beta", 4).alias("beta"))
 
 
 def p4_late_corrections(spark, sf_dir):
