@@ -159,7 +159,7 @@ class Lexicon:
 
     def undo(self, raw: str) -> str:
         """A token without its disguise, if a word of the lexicon lies behind it; else the token."""
-        if raw in self.vocabulary:
+        if raw in self.vocabulary or len(raw) > 64:
             return raw
         if raw.isalpha():
             return self._alpha(raw)
@@ -209,7 +209,7 @@ class Lexicon:
                     run = "".join(toks[i:j])
                     at = 0
                     while at < len(run):
-                        for end in range(len(run), at + 2, -1):
+                        for end in range(min(len(run), at + 24), at + 2, -1):
                             w = self._alpha(run[at:end].translate(_SIGNS))
                             if w in self.masked:
                                 out.append(w)
@@ -229,16 +229,17 @@ class Lexicon:
         Cues add only to names called, once each, and never make a case alone.
         """
         line = " " + " ".join(toks) + " "
-        hits = [(end - len(p), end, p, w, kind) for end, (p, w, kind) in self.automaton.iter(line)]
-        safe = [(a, b) for a, b, *_, kind in hits if kind == "exception"]
-        found = [h for h in hits if h[4] != "exception" and not any(a <= h[0] and h[1] <= b for a, b in safe)]
-        found.sort(key=lambda h: (-(h[1] - h[0]), h[0]))
-        taken: list[tuple] = []
-        for h in found:
-            if not any(t[0] <= h[0] and h[1] <= t[1] for t in taken):
-                taken.append(h)
+        hits = sorted(((end - len(p), -end, w, kind) for end, (p, w, kind) in self.automaton.iter(line)), key=lambda h: h[:2])
+        taken: list[tuple[float, str]] = []
+        safe = reach = -1  # how far exceptions and entries that began earlier reach
+        for start, end, w, kind in hits:
+            if kind == "exception":
+                safe = max(safe, -end)
+            elif -end > safe and -end > reach:
+                taken.append((w, kind))
+                reach = -end
         kinds: dict[str, float] = {}
-        for *_, w, kind in taken:
+        for w, kind in taken:
             kinds[kind] = kinds.get(kind, 0.0) + w
         cue = min(kinds.pop("cue", 0.0), 0.5)
         total = sum(kinds.values())

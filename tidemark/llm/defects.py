@@ -137,7 +137,7 @@ def says_nothing(answer: str | None) -> bool:
     inner = t.strip("()[]{}<>*-–—.…,;:!?\"' ")
     if not inner or PLACEHOLDERS.match(inner):
         return True
-    return not re.search(r"[^\W_]", re.sub(r"\[[^\]]*\]|\{[^}]*\}|<[^>]*>|\((?:no |inaudible|silence|pause)[^)]*\)", " ", t))
+    return not re.search(r"[^\W_]", re.sub(r"\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\((?:no |inaudible|silence|pause)[^()]*\)", " ", t))
 
 
 def lcs(a: list[str], b: list[str]) -> int:

@@ -43,7 +43,7 @@ _ANNOTATION = re.compile(
 )
 _HESITATION = re.compile(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, HESITATIONS)) + r")(?![\w'’-])(?:\s*(?:\.{2,}|…|,))*", re.I)
 _PHRASE = re.compile(r"(?<![\w'’-])(?<!as )(?<!if )(?:" + "|".join(map(re.escape, FILLER_PHRASES)) + r"),(?=\s|$)", re.I)
-_REPEAT = re.compile(r"(?<!\S)([^\s,;:!?]+?)[,.;:!?]*(?:\s+\1(?=[,.;:!?]*(?:\s|$)))+", re.I)
+_REPEAT = re.compile(r"(?<!\S)([^\s,;:!?]{1,60}?)[,.;:!?]{0,5}(?:\s+\1(?=[,.;:!?]{0,5}(?:\s|$)))+", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -57,9 +57,10 @@ def _seconds(s: str) -> float:
 def clean_text(text: str | None) -> str:
     """The spoken words of a block: without stamps, annotations, hesitation sounds, filler phrases and stutters."""
     t = _INNER_STAMP.sub(" ", text or "")
-    before = None
-    while before != t:
+    for _ in range(4):  # annotations within annotations
         before, t = t, _ANNOTATION.sub(" ", t)
+        if before == t:
+            break
     t = " ".join(t.split())
     t = _HESITATION.sub(" ", t)
     t = " ".join(t.split())
@@ -85,9 +86,11 @@ def _label_of_line(line: str) -> tuple[str, str] | None:
     head, colon, rest = line.partition(":")
     if not colon or (rest[:1] and not rest[:1].isspace() and rest[:1] != ":"):
         return None
+    if len(head) > 90:
+        return None
     name = re.sub(r"\([^)]*\)|\s[-–—]\s.*$|\[[^\]]*\]", " ", head).strip()
     n = len(name.split())
-    if len(head) > 90 or n > 5 or re.search(r"[.!?;$%]\s+\S+\s+\S+\s", head) or (n == 0 and head.strip()):
+    if n > 5 or re.search(r"[.!?;$%]\s+\S+\s+\S+\s", head) or (n == 0 and head.strip()):
         return None
     if n > 3 and not (name.isupper() or all(w[:1].isupper() for w in name.split()) or NAMELESS.match(name) or name.lower() in OPERATOR_LABELS):
         return None
@@ -240,6 +243,8 @@ def _near(a: str, b: str) -> bool:
 
 def read_label(label: str) -> tuple[str, str]:
     """(kind, name): operator, none, full ``first last``, initial ``f last`` or last ``last``; lower case."""
+    if len(label) > 300:
+        return "none", ""
     s = re.sub(r"\[[^\]]*\]", " ", label).strip()
     s = re.sub(r"[\s:]+$", "", s)
     s = re.sub(r"\([^)]*\)?", " ", s)
