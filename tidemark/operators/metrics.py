@@ -58,8 +58,9 @@ def correlations(p: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def calibration_error(p: DataFrame, y: str, prob: str, bins: int = 10) -> DataFrame:
-    """(ece, brier): equal bins, the last closed; bin edges compared as numbers."""
-    b = sum([(F.col(prob) >= i / bins).cast("int") for i in range(2, bins)], (F.col(prob) >= 1 / bins).cast("int"))
+    """(ece, brier): equal bins, the last closed; edges are multiples of the bin's width in floating point."""
+    edges = [i * (1.0 / bins) for i in range(1, bins)]
+    b = sum([(F.col(prob) >= e).cast("int") for e in edges[1:]], (F.col(prob) >= edges[0]).cast("int"))
     by = p.where(F.col(y).isNotNull() & F.col(prob).between(0, 1)).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("acc"), F.avg(prob).alias("conf"), F.sum(F.pow(F.col(y) - F.col(prob), 2)).alias("se"))
     return by.agg((F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n")).alias("ece"), (F.sum("se") / F.sum("n")).alias("brier"))
 

@@ -58,10 +58,10 @@ def fold_summary(folds: DataFrame, calls: DataFrame, pairs: DataFrame, at: str =
     return folds.join(c, "call_id").groupBy("fold", "split").agg(F.count("*").alias("calls"), F.coalesce(F.sum("__p"), F.lit(0)).alias("pairs"), F.min(at).alias("first_date"), F.max(at).alias("last_date"))
 
 
-def validate(calls: DataFrame, pairs: DataFrame, folds: DataFrame, coverage: dict[str, float] | None = None, at: str = "event_date", **least) -> DataFrame:
+def validate(calls: DataFrame, pairs: DataFrame, folds: DataFrame, coverage: dict[str, float] | None = None, at: str = "event_date", least: dict[str, int] | None = None) -> DataFrame:
     """(level, code, fold, value, required): one row per broken rule; none if the data may be trained on."""
     coverage = MIN_COVERAGE if coverage is None else coverage
-    need = {"calls": MIN_CALLS, "pairs": MIN_PAIRS, "train_pairs": MIN_TRAIN_PAIRS, "eval_pairs": MIN_EVAL_PAIRS, "folds": MIN_FOLDS} | least
+    need = {"calls": MIN_CALLS, "pairs": MIN_PAIRS, "train_pairs": MIN_TRAIN_PAIRS, "eval_pairs": MIN_EVAL_PAIRS, "folds": MIN_FOLDS} | (least or {})
     there = [c for c in coverage if c in calls.columns]
     cov = lambda df, by: df.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).isNotNull().cast("int")).alias(c) for c in there])
     rule = lambda level, code, value, least_: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), value.cast("double").alias("value"), F.lit(float(least_)).alias("required"))

@@ -581,7 +581,7 @@ def rank_corr(spark, d):
     return rnd(metrics.correlations(b.predictions(spark, d), "car", "score"), 8, "pearson", "spearman")
 
 
-_BIN = " + ".join(f"(prob >= {i / 10})::INT" for i in range(1, 10))
+_BIN = " + ".join(f"(prob >= {i * 0.1!r}::DOUBLE)::INT" for i in range(1, 10))
 
 
 @query(f"WITH {PREDICTIONS}, x AS (SELECT {_BIN} AS b, count(*) AS n, avg(y) AS acc, avg(prob) AS conf, sum((y - prob) ** 2) AS se FROM pred GROUP BY 1) SELECT round(sum(n * abs(acc - conf)) / sum(n), 8) AS ece, round(sum(se) / sum(n), 8) AS brier FROM x")

@@ -76,7 +76,7 @@ def read_jsonl_source(spark: SparkSession, root: str, s: Source) -> DataFrame:
     lines = lines.where("v is not null and size(v) > 0")
     take = lambda name: F.coalesce(*[F.nullif(F.trim(F.col("v")[a]), F.lit("")) for a in s.fields.get(name, name).split("|")])
     q, a = F.from_json(F.col("v")[s.fields.get("questions", "questions")], "array<string>"), F.from_json(F.col("v")[s.fields.get("answers", "answers")], "array<string>")
-    joined = F.concat_ws("\n", F.flatten(F.transform(F.arrays_zip(q.alias("q"), a.alias("a")), lambda x: F.array_compact(F.array(x["0"], x["1"])))))
+    joined = F.concat_ws("\n", F.flatten(F.transform(F.arrays_zip(q.alias("q"), a.alias("a")), lambda x: F.array_compact(F.array(x["q"], x["a"])))))
     return _keyed(lines.select(
         F.lit(s.source_id).alias("source_id"), "source_file", "source_row", *[take(c).alias(c) for c in ("ticker", "event_date", "company")], *[take(c).try_cast("int").alias(c) for c in ("year", "quarter")],
         F.coalesce(take("transcript"), F.nullif(joined, F.lit(""))).alias("transcript"), F.coalesce(F.from_json(F.col("v")[s.fields.get("structured_content", "structured_content")], SEGMENTS), F.array().cast(SEGMENTS)).alias("structured_content"),
