@@ -1,4 +1,4 @@
-"""As-of and nearest joins by union and fill: one sort per entity, no range join."""
+"""As-of and nearest joins by union and fill: one sort per entity and month, no range join."""
 
 from __future__ import annotations
 
@@ -6,24 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Time shards of the as-of joins: a key's rows are sorted shard by shard, and only one state per shard is carried on.
+SHARD = "month"
+
+
 def asof(events: DataFrame, rows: DataFrame, *, key: str, event_at: str, row_at: str, payload: list[str], into: str, direction: str = "backward", strict: bool = False) -> DataFrame:
     """``events`` with the struct ``into`` (row_at and payload) of the last row before (backward) or the first behind (forward) each event.
 
     ``strict`` leaves out rows at the event's own time. Null keys or times match nothing.
-    Rows of one time: the greatest payload. Every event comes out once.
+    Rows of one time: the greatest payload. Every event comes out once. A key that holds a
+    third of all events is spread over its months: within a month events and rows are
+    filled in order, and what no row of the month answers is answered by the month before
+    (behind) that has one, out of one row per key and month.
     """
     back = direction == "backward"
-    best = rows.where(F.col(key).isNotNull() & F.col(row_at).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(row_at).alias("__t")).agg(F.max(F.struct(F.col(row_at), *payload)).alias("__v"))
-    side = F.lit(0 if back == strict else 1)  # where events stand among rows of their time
-    ev = events.withColumn("__e", F.struct(*events.columns)).select(F.col(key).alias("__k"), F.col(event_at).alias("__t"), "__e", side.alias("__side"))
-    both = best.select("__k", "__t", "__v", F.lit(0.5).alias("__side")).unionByName(ev, allowMissingColumns=True)
-    w = Window.partitionBy("__k").orderBy("__t", "__side")
-    if back:
-        found = F.last("__v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("__v", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    shard = lambda c: F.trunc(F.col(c).cast("date"), SHARD)
+    best = rows.where(F.col(key).isNotNull() & F.col(row_at).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(row_at).alias("__t")).agg(F.max(F.struct(F.col(row_at), *payload)).alias("__v")).withColumn("__s", shard("__t"))
+    side = F.lit(0.0 if back == strict else 1.0)  # where events stand among rows of their time
+    ev = events.withColumn("__e", F.struct(*events.columns)).select(F.col(key).alias("__k"), F.col(event_at).alias("__t"), "__e", side.alias("__side"), shard(event_at).alias("__s"))
+    edge = best.groupBy("__k", "__s").agg((F.max_by if back else F.min_by)("__v", "__t").alias("__edge"))
+    steps = edge.unionByName(ev.select("__k", "__s").where("__k is not null and __s is not null").distinct().join(edge, ["__k", "__s"], "left_anti"), allowMissingColumns=True)
+    over = Window.partitionBy("__k").orderBy(F.asc("__s") if back else F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.select("__k", "__s", F.last("__edge", True).over(over).alias("__carry"))
+    both = best.select("__k", "__t", "__s", "__v", F.lit(0.5).alias("__side")).unionByName(ev, allowMissingColumns=True)
+    w = Window.partitionBy("__k", "__s").orderBy("__t", "__side")
+    found = F.last("__v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("__v", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    hit = both.withColumn("__f", found).where("__e is not null")
     ok = F.col("__k").isNotNull() & F.col("__t").isNotNull()
-    return both.withColumn(into, F.when(ok, found)).where("__e is not null").select("__e.*", into)
+    return hit.join(carried, ["__k", "__s"], "left").select("__e.*", F.when(ok, F.coalesce("__f", "__carry")).alias(into))
 
 
 def nearest(targets: DataFrame, sources: DataFrame, *, key: str, target_at: str, source_at: str, payload: list[str], max_days: int) -> DataFrame:
@@ -54,7 +64,8 @@ def prior_version(rows: DataFrame, keys: list[str], order: str, payload: list[st
 def suffix_product(dates: DataFrame, splits: DataFrame, *, key: str, at: str, split_at: str, factor: str, into: str) -> DataFrame:
     """Each row's product of the factors of all later splits of its key (1 without one); null and zero factors do not count."""
     s = splits.where(F.col(factor).isNotNull() & (F.col(factor) != 0) & F.col(split_at).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(split_at).alias("__t")).agg(F.product(factor).alias("__f"))
-    d = dates.withColumn("__e", F.struct(*dates.columns)).select(F.col(key).alias("__k"), F.col(at).alias("__t"), "__e", F.lit(1).alias("__side"))
+    d = dates.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side")).distinct()
     both = s.select("__k", "__t", "__f", F.lit(0).alias("__side")).unionByName(d, allowMissingColumns=True)
     w = Window.partitionBy("__k").orderBy("__t", "__side").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn(into, F.coalesce(F.product("__f").over(w), F.lit(1.0))).where("__e is not null").select("__e.*", into)
+    known = both.withColumn("__p", F.product("__f").over(w)).where("__side = 1").select("__k", "__t", "__p")
+    return dates.join(known, (F.col(key) == F.col("__k")) & (F.col(at) == F.col("__t")), "left").withColumn(into, F.coalesce("__p", F.lit(1.0))).drop("__k", "__t", "__p")

@@ -76,15 +76,21 @@ def event_study(events: DataFrame, grid: DataFrame, *, key: str = "ticker", even
 
 def call_frequency(calls: DataFrame) -> DataFrame:
     """Per call of a ticker, by (event_date, call_id): earlier calls, days since the last one, earlier calls within
-    365 days (same-day earlier rows count), mean gap of the earlier calls (from two on). Prior only."""
-    o = Window.partitionBy("ticker").orderBy("event_date", "call_id")
-    n = F.row_number().over(o) - 1
-    day = F.unix_date("event_date")
-    year = F.count("*").over(Window.partitionBy("ticker").orderBy(day).rangeBetween(-365, 0))
-    peers = Window.partitionBy("ticker", "event_date")
-    same = F.count("*").over(peers) - F.row_number().over(peers.orderBy("call_id")) + 1
-    prev, first = F.lag("event_date").over(o), F.first("event_date").over(o.rowsBetween(Window.unboundedPreceding, 0))
-    return calls.where("ticker is not null and event_date is not null").select(
-        "call_id", "ticker", "event_date", n.alias("prior_call_count"), F.datediff("event_date", prev).alias("days_since_prev_call"), (year - same).alias("prior_call_count_365d"),
-        F.when(n >= 2, F.datediff(prev, first) / (n - 1)).alias("mean_prior_call_gap_days"),
+    365 days (same-day earlier rows count), mean gap of the earlier calls (from two on). Prior only.
+
+    Windows run over a ticker's days, of which there are few, and within a day; a
+    ticker with a third of all calls is spread over its days.
+    """
+    c = calls.where("ticker is not null and event_date is not null").select("call_id", "ticker", "event_date")
+    days = c.groupBy("ticker", "event_date").agg(F.count("*").alias("__n"))
+    o = Window.partitionBy("ticker").orderBy("event_date")
+    before = F.coalesce(F.sum("__n").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    year = F.sum("__n").over(Window.partitionBy("ticker").orderBy(F.unix_date("event_date")).rangeBetween(-365, 0))
+    days = days.withColumns({"__b": before, "__y": year, "__p": F.lag("event_date").over(o), "__f": F.first("event_date").over(o.rowsBetween(Window.unboundedPreceding, 0))})
+    k = F.row_number().over(Window.partitionBy("ticker", "event_date").orderBy("call_id")) - 1
+    c = c.withColumn("__k", k).join(days, ["ticker", "event_date"])
+    n, prev = F.col("__b") + F.col("__k"), F.when(F.col("__k") > 0, F.col("event_date")).otherwise(F.col("__p"))
+    return c.select(
+        "call_id", "ticker", "event_date", n.alias("prior_call_count"), F.datediff("event_date", prev).alias("days_since_prev_call"), (F.col("__y") - F.col("__n") + F.col("__k")).alias("prior_call_count_365d"),
+        F.when(n >= 2, F.datediff(prev, "__f") / (n - 1)).alias("mean_prior_call_gap_days"),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.universe import average_rank
+from tidemark.operators.universe import average_rank, prefix_sums
 
 
 def _by_score(p: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
@@ -19,13 +19,15 @@ def _by_score(p: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
 def roc_pr(p: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """(by..., rows, positives, auroc, auprc): rank-sum area and average precision; null where a class is missing.
 
-    Without groups the distinct scores pass one window; scores of as many values as rows should be rounded first.
+    Without groups distinct scores are cumulated over ranges, so no task sees all of them.
     """
     by = by or []
     c = _by_score(p, by, y, score)
-    o = Window.partitionBy(*by).orderBy(F.desc("s"))
-    up = o.rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"tp": F.sum("pos").over(up), "seen": F.sum("n").over(up)})
+    if by:
+        up = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+        c = c.withColumns({"tp": F.sum("pos").over(up), "seen": F.sum("n").over(up)})
+    else:
+        c = prefix_sums(c, "s", {"tp": "pos", "seen": "n"}, descending=True).withColumns({"tp": F.col("tp") + F.col("pos"), "seen": F.col("seen") + F.col("n")})
     neg = F.col("n") - F.col("pos")
     above_neg = F.col("seen") - F.col("tp")  # negatives at or above the score
     P, N = F.sum("pos"), F.sum("n") - F.sum("pos")
@@ -81,9 +83,8 @@ def select_threshold(p: DataFrame, y: str, prob: str, objective: str = "accuracy
     grid = [round(0.05 * i, 2) for i in range(1, 20)] + [0.25, 0.5, 0.75]
     extra = p.sparkSession.createDataFrame([(float(g),) for g in sorted(set(grid))], "s double").select("s", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"))
     c = c.select(F.least(F.greatest(F.col("s").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("s"), "pos", "n").unionByName(extra).groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     tot = c.agg(F.sum("pos").alias("P"), F.sum("n").alias("T"))
-    c = c.withColumns({"tp": F.sum("pos").over(w), "hit": F.sum("n").over(w)}).crossJoin(F.broadcast(tot))
+    c = prefix_sums(c, "s", {"tp": "pos", "hit": "n"}, descending=True).withColumns({"tp": F.col("tp") + F.col("pos"), "hit": F.col("hit") + F.col("n")}).crossJoin(F.broadcast(tot))
     N, fp = F.col("T") - F.col("P"), F.col("hit") - F.col("tp")
     tn, fn = N - fp, F.col("P") - F.col("tp")
     score = {

@@ -22,21 +22,29 @@ def average_rank(df: DataFrame, value: str, into: str, by: list[str] | None = No
         w = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
         ranked = counts.withColumn("__below", F.coalesce(F.sum("__c").over(w), F.lit(0)))
     else:
-        ranked = prefix_counts(counts)
+        ranked = prefix_sums(counts, "__v", {"__below": "__c"})
     joined = df.join(ranked.select(*by, F.col("__v").alias(value), (F.col("__below") + (F.col("__c") + 1) / 2).alias(into)), [*by, value], "left")
     if share:
         joined = (joined.join(F.broadcast(total), by) if by else joined.crossJoin(F.broadcast(total))).withColumn(into, F.col(into) / F.col("__n")).drop("__n")
     return joined.select(*df.columns, into)
 
 
-def prefix_counts(counts: DataFrame, buckets: int = 256) -> DataFrame:
-    """(__v, __c, __below): rows with smaller values, by a range partition and the bounded totals of its parts."""
-    cuts = counts.agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10000).alias("c"))
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter(F.coalesce("c", F.array().cast("array<double>")), lambda x: x < F.col("__v")))).drop("c")
-    sums = placed.groupBy("__b").agg(F.sum("__c").alias("__s"))
-    offset = sums.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    w = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(F.broadcast(offset), "__b").withColumn("__below", F.col("__o") + F.coalesce(F.sum("__c").over(w), F.lit(0))).drop("__b", "__o")
+def prefix_sums(values: DataFrame, value: str, sums: dict[str, str], descending: bool = False, buckets: int = 256) -> DataFrame:
+    """Adds, for each new name, the sum of its column over the rows with smaller (descending: greater) values.
+
+    ``values`` has one row per value. They are ranged into buckets by approximate
+    quantiles; each bucket is summed in order by itself on top of the bounded list of
+    the buckets' totals, so no task sorts all values.
+    """
+    cuts = values.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10000).alias("__cuts"))
+    placed = values.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda x: x < F.col(value)))).drop("__cuts")
+    order = F.desc if descending else F.asc
+    totals = placed.groupBy("__b").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    up = Window.orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    offset = totals.select("__b", *[F.coalesce(F.sum(f"__s_{n}").over(up), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    w = Window.partitionBy("__b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(offset), "__b")
+    return out.select(*values.columns, *[(F.col(f"__o_{n}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(n) for n, c in sums.items()])
 
 
 def corpus_stats(calls: DataFrame) -> DataFrame:
