@@ -59,14 +59,16 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
 
 
-def remove_scratch(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path (used between the rounds of an iteration)."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(spark: SparkSession, *stages: DataFrame | str) -> None:
+    """Deletes stages nothing reads any more: materialised frames, or scratch paths."""
+    for s in stages:
+        path = spark._jvm.org.apache.hadoop.fs.Path(s if isinstance(s, str) else s._tidemark_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def data_path(sf_dir: str, table: str) -> str:
