@@ -3,7 +3,8 @@
 Components come from contraction with pointer jumping: every node points to its
 smallest neighbour, pointers are jumped until they stand at roots, edges are
 rewritten to roots, and so on until no edge is left. Each round at least halves
-the nodes that still have edges. Rounds are written to the shared folder.
+the nodes that still have edges. Rounds are written to the shared folder, and
+deleted once the next one stands.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import canonical_ticker, digits_key
-from tidemark.session import materialise, read_table
+from tidemark.session import discard, materialise, read_table
 
 QUARANTINE = "quarantine"
 #: A component above this share of all weight is placed by itself; the lighter ones go in BUCKETS groups by hash.
@@ -34,26 +35,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nulls and loops link nobody; repeated edges count once; without edges the result is empty.
     """
+    spark = edges.sparkSession
     work = materialise(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "edges")
-    labels = None
+    labels = label_files = None
     while not work.isEmpty():
         both = work.select("a", "b").unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")).select(F.col("a").alias("v"), "p"), "pointers")
+        spent = [materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")).select(F.col("a").alias("v"), "p"), "pointers")]
+        up = spent[0]
         while True:
             above = up.select(F.col("v").alias("p"), F.col("p").alias("g"))
             jumped = materialise(up.join(above, "p").select("v", F.col("g").alias("p"), (F.col("p") != F.col("g")).alias("moved")), "pointers")
+            spent.append(jumped)
             up = jumped.select("v", "p")
             if jumped.where("moved").isEmpty():
                 break
         if labels is None:
+            label_files = spent.pop()
             labels = up.select(F.col("v").alias("node"), F.col("p").alias("root"))
         else:
             higher = up.select(F.col("v").alias("root"), F.col("p").alias("r2"))
             labels = materialise(labels.join(higher, "root", "left").select("node", F.coalesce("r2", "root").alias("root")), "labels")
+            discard(spark, label_files)
+            label_files = labels
         a, b = up.select(F.col("v").alias("a"), F.col("p").alias("pa")), up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        work = materialise(work.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        rest = materialise(work.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        discard(spark, work, *spent)
+        work = rest
     if labels is None:
-        return work.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+        return work.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    discard(spark, work)
     return labels
 
 
