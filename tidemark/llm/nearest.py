@@ -1,12 +1,13 @@
 """Matching records by nearest time: a stateful streaming join.
 
-Both sides arrive as one stream of events. Per entity and time slot the operator
-buffers both sides, emits a left row once the watermark has passed its tolerance
-horizon, when no nearer right row can still arrive, and evicts right rows no
-pending or future left row can reach. A slot is SLOT_TOLERANCES tolerances long
-and right rows near its edge are copied to the neighbouring slot, so a group's
-state is bounded by what one entity holds in a few tolerances: an entity with a
-third of all rows is spread over its slots.
+Both sides arrive as one stream of events. The operator buffers both sides per
+entity, emits a left row once the watermark has passed its tolerance horizon,
+when no nearer right row can still arrive, and evicts right rows that no pending
+or future left row can reach. An entity's time line is cut into slots of
+SLOT_TOLERANCES tolerances, right rows near an edge going to both sides of it,
+and the slots of all entities are dealt by hash into groups of about GROUP_ROWS
+rows. So an entity with a third of all rows is spread over its slots, and many
+small entities share one state instead of costing a call each.
 """
 
 from __future__ import annotations
@@ -20,18 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.text import canonical_ticker
-from tidemark.session import materialise, read_table, scratch_path
+from tidemark.session import discard, materialise, read_table, scratch_path
 
 TOLERANCE_S = 72 * 3600
 SLOT_TOLERANCES = 2
 LATENESS = "0 seconds"
+#: Rows of one state group of a replay.
+GROUP_ROWS = 1000
 #: Rows of one replayed slice; a larger input is replayed in more slices, in order of time.
 SLICE_ROWS = 4_000_000
 EVENT = "entity string, side string, id string, us bigint, ts timestamp"
 #: The end mark; the last year that nanosecond stamps can hold. Rows at or behind it are left out.
 _END = "2261-01-01 00:00:00"
 _OUT = "entity string, left_id string, right_id string, left_us bigint, right_us bigint"
-_STATE = "lt array<bigint>, li array<string>, rt array<bigint>, ri array<string>"
+_STATE = "le array<string>, li array<string>, lt array<bigint>, re array<string>, ri array<string>, rt array<bigint>"
 
 
 def sides(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -40,63 +43,59 @@ def sides(left: DataFrame, right: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).where(f"entity is not null and id is not null and ts < timestamp'{_END}'")
 
 
-def nearest(lt: np.ndarray, rt: np.ndarray) -> np.ndarray:
-    """For each left time the index of the closest right time; of equally close ones the earlier. ``rt`` is sorted and not empty."""
-    after = np.clip(np.searchsorted(rt, lt, "left"), 0, len(rt) - 1)
-    before = np.maximum(np.searchsorted(rt, lt, "right") - 1, 0)
-    before = np.searchsorted(rt, rt[before], "left")
-    return np.where(np.abs(lt - rt[before]) <= np.abs(rt[after] - lt), before, after)
+def nearest(left: pd.DataFrame, right: pd.DataFrame, tol: int) -> pd.DataFrame:
+    """``left`` (entity, id, us) with right_id and right_us of the closest right row of its entity within ``tol``;
+    of equally close ones the earlier, at one time the smaller id."""
+    left = left.sort_values(["us", "entity", "id"], kind="stable").reset_index(drop=True)
+    r = right.sort_values(["us", "id"], kind="stable").drop_duplicates(["entity", "us"]).rename(columns={"id": "right_id"})
+    r["right_us"] = r["us"]
+    back, ahead = (pd.merge_asof(left, r, on="us", by="entity", direction=d, tolerance=tol) for d in ("backward", "forward"))
+    far = np.iinfo(np.int64).max
+    gap = [(x.right_us - x.us).abs().fillna(far) for x in (back, ahead)]
+    pick = ahead.where(gap[1] < gap[0], back)
+    return left.assign(right_id=pick.right_id.astype(object).where(pick.right_id.notna(), None), right_us=pick.right_us.astype("Int64"))
 
 
-def nearest_in_stream(events: DataFrame, tolerance_s: int = TOLERANCE_S, lateness: str = LATENESS) -> DataFrame:
+def nearest_in_stream(events: DataFrame, tolerance_s: int = TOLERANCE_S, lateness: str = LATENESS, groups: int = 256) -> DataFrame:
     """The streaming operator: (entity, left_id, right_id, left_us, right_us), append mode.
 
     ``events`` is a stream of EVENT rows. Every left row on time comes out once,
     with null right columns where nothing lies within the tolerance. Repeated ids
-    of a side count once (the earliest time); of equally close right rows the
+    of a side count once per entity (the earliest time); of equally close right rows the
     earlier wins, at the same time the smaller id. Rows behind the watermark are late and dropped.
     """
     tol, width = tolerance_s * 1_000_000, tolerance_s * SLOT_TOLERANCES * 1_000_000
     slot = lambda us: F.floor(us / F.lit(width))
     slots = F.when(F.col("side") == "L", F.array(slot(F.col("us")))).otherwise(F.sequence(slot(F.col("us") - tol), slot(F.col("us") + tol)))
     spread = events.withWatermark("ts", lateness).select("entity", "side", "id", "us", "ts", F.explode(slots).alias("slot"))
+    spread = spread.withColumn("grp", F.pmod(F.xxhash64("entity", "slot"), F.lit(groups)).cast("int")).drop("slot")
+
+    def frame(e, i, t) -> pd.DataFrame:
+        return pd.DataFrame({"entity": pd.Series(e, dtype=object), "id": pd.Series(i, dtype=object), "us": pd.Series(t, dtype="int64")})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lt, li, rt, ri = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        kept = [list(x) for x in state.get] if state.exists else [[] for _ in range(6)]
+        left, right = frame(*kept[:3]), frame(*kept[3:])
         if not state.hasTimedOut:
-            for b in batches:
-                for ids, times, part in ((li, lt, b[b.side == "L"]), (ri, rt, b[b.side == "R"])):
-                    ids += part.id.tolist()
-                    times += part.us.tolist()
-            for ids, times in ((li, lt), (ri, rt)):
-                first: dict = {}
-                for i, t in zip(ids, times):
-                    first[i] = min(t, first.get(i, t))
-                order = sorted((t, i) for i, t in first.items())
-                times[:], ids[:] = [t for t, _ in order], [i for _, i in order]
+            new = [b[["side", "entity", "id", "us"]] for b in batches]
+            both = [pd.concat([old, *(b[b.side == s][["entity", "id", "us"]] for b in new)]).sort_values("us", kind="stable").drop_duplicates(["entity", "id"]) for old, s in ((left, "L"), (right, "R"))]
+            left, right = both
         mark = state.getCurrentWatermarkMs() * 1000
-        done = int(np.searchsorted(np.asarray(lt, dtype=np.int64) + tol, mark, "left"))
-        if done:
-            t = np.asarray(lt[:done], dtype=np.int64)
-            out = {"entity": key[0], "left_id": li[:done], "right_id": [None] * done, "left_us": t, "right_us": pd.array([None] * done, dtype="Int64")}
-            if rt:
-                r = np.asarray(rt, dtype=np.int64)
-                k = nearest(t, r)
-                hit = np.abs(r[k] - t) <= tol
-                out["right_id"] = [ri[j] if h else None for j, h in zip(k, hit)]
-                out["right_us"] = pd.array([int(r[j]) if h else None for j, h in zip(k, hit)], dtype="Int64")
-            yield pd.DataFrame(out)
-            lt, li = lt[done:], li[done:]
-        reach = min([mark, *lt[:1]]) - tol
-        gone = int(np.searchsorted(np.asarray(rt, dtype=np.int64), reach, "left"))
-        rt, ri = rt[gone:], ri[gone:]
-        if lt or rt:
-            state.update((lt, li, rt, ri))
-            state.setTimeoutTimestamp(max((lt[0] if lt else rt[-1]) + tol, mark) // 1000 + 1)
+        done = left.us + tol < mark
+        if done.any():
+            out = nearest(left[done], right, tol)
+            yield out.rename(columns={"id": "left_id", "us": "left_us"})[["entity", "left_id", "right_id", "left_us", "right_us"]]
+            left = left[~done]
+        reach = min(mark, int(left.us.min()) if len(left) else mark) - tol
+        right = right[right.us >= reach]
+        if len(left) or len(right):
+            state.update(tuple(d[c].tolist() for d in (left, right) for c in ("entity", "id", "us")))
+            wake = (int(left.us.min()) if len(left) else int(right.us.max())) + tol
+            state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
         elif state.exists:
             state.remove()
 
-    return spread.groupBy("entity", "slot").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return spread.groupBy("grp").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(spark: SparkSession, events: DataFrame, tolerance_s: int = TOLERANCE_S, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -109,6 +108,7 @@ def replay(spark: SparkSession, events: DataFrame, tolerance_s: int = TOLERANCE_
     """
     staged = materialise(events, "sides")
     n = staged.count()
+    groups = max(8, n // GROUP_ROWS)
     parts = max(1, -(-n // slice_rows))
     cuts = staged.select(F.percentile_approx("us", [i / parts for i in range(1, parts)])).first()[0] if parts > 1 else []
     edges = [None, *sorted(set(cuts)), None]
@@ -121,8 +121,9 @@ def replay(spark: SparkSession, events: DataFrame, tolerance_s: int = TOLERANCE_
             part = part.unionByName(end)
         part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(EVENT).parquet(source)
-        query = nearest_in_stream(stream, tolerance_s).writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+        query = nearest_in_stream(stream, tolerance_s, groups=groups).writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
+    discard(spark, staged, source, log)
     return spark.read.schema(_OUT).parquet(sink).where("entity is not null")
 
 
