@@ -41,21 +41,29 @@ def mask_only(tokens: Column, kept: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.when(F.array_contains(kept, i), 1.0).otherwise(0.0))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row, however often f reads it; inside a lambda it would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def faithfulness(rows: DataFrame, scorer: Scorer, k: int) -> DataFrame:
     """Adds rationale, comprehensiveness f(x) - f(x without it) and sufficiency f(x) - f(it alone). Empty rows have none."""
     r = rows.where(F.size("tokens") > 0).withColumn("rationale", topk(F.col("tokens"), F.col("scores"), k))
     t = F.col("tokens")
     full = scorer(t, F.transform(t, lambda _: F.lit(1.0)))
-    return r.withColumns({"comprehensiveness": full - scorer(t, mask_without(t, F.col("rationale"))), "sufficiency": full - scorer(t, mask_only(t, F.col("rationale")))})
+    without = bound(F.col("rationale"), lambda x: scorer(t, mask_without(t, x)))
+    only = bound(F.col("rationale"), lambda x: scorer(t, mask_only(t, x)))
+    return r.withColumns({"comprehensiveness": full - without, "sufficiency": full - only})
 
 
 def deletion_curve(rows: DataFrame, key: str, scorer: Scorer, steps: int = 10) -> DataFrame:
     """(key, fraction_removed, score): the highest scored tokens are removed first, round(fraction * n) of them (half to even)."""
-    r = rows.where(F.size("tokens") > 0).withColumn("__o", ranked_positions(F.col("tokens"), F.col("scores"), False))
+    order = F.transform(ranked_positions(F.col("tokens"), F.col("scores"), False), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    r = rows.where(F.size("tokens") > 0).withColumn("__r", F.transform(F.array_sort(order), lambda x: x["i"]))
     r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("__i")).withColumn("fraction_removed", F.col("__i") / steps)
     gone = F.bround(F.col("fraction_removed") * F.size("tokens"), 0).cast("int")
-    r = r.withColumn("__g", F.slice("__o", F.lit(1), gone))
-    return r.select(key, "fraction_removed", scorer(F.col("tokens"), mask_without(F.col("tokens"), F.col("__g"))).alias("score"))
+    mask = bound(gone, lambda g: F.transform("__r", lambda x: F.when(x < g, 0.0).otherwise(1.0)))
+    return r.select(key, "fraction_removed", scorer(F.col("tokens"), mask).alias("score"))
 
 
 def curve_area(curve: DataFrame, key: str) -> DataFrame:
@@ -69,17 +77,18 @@ def random_baseline(rows: DataFrame, key: str, scorer: Scorer, k: int, trials: i
     """(key, random_mean, random_std, random_n): comprehensiveness of random rationales, drawn by hash so that re-runs agree."""
     r = rows.where(F.size("tokens") > 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("__t"))
     draw = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.struct(F.xxhash64(F.col(key), F.col("__t"), i, F.lit(seed)).alias("h"), i.alias("i")))
-    r = r.withColumn("__x", F.transform(F.slice(F.array_sort(draw), 1, max(k, 1)), lambda s: s["i"]))
+    drawn = F.transform(F.slice(F.array_sort(draw), 1, max(k, 1)), lambda s: s["i"])
     t = F.col("tokens")
-    v = scorer(t, F.transform(t, lambda _: F.lit(1.0))) - scorer(t, mask_without(t, F.col("__x")))
+    v = scorer(t, F.transform(t, lambda _: F.lit(1.0))) - bound(drawn, lambda x: scorer(t, mask_without(t, x)))
     return r.withColumn("__v", v).groupBy(key).agg(F.avg("__v").alias("random_mean"), F.stddev_pop("__v").alias("random_std"), F.count("*").alias("random_n"))
 
 
 def perturbation(rows: DataFrame, key: str, scorer: Scorer) -> DataFrame:
     """(key, position, importance): how far the score falls without each token, never below 0; special tokens left out."""
-    r = rows.select("*", F.posexplode("tokens").alias("position", "__w")).where(~F.col("__w").isin(*SPECIAL_TOKENS))
     t = F.col("tokens")
-    drop = scorer(t, F.transform(t, lambda _: F.lit(1.0))) - scorer(t, mask_without(t, F.array("position")))
+    r = rows.withColumn("__f", scorer(t, F.transform(t, lambda _: F.lit(1.0))))
+    r = r.select("*", F.posexplode("tokens").alias("position", "__w")).where(~F.col("__w").isin(*SPECIAL_TOKENS))
+    drop = F.col("__f") - scorer(t, F.transform(t, lambda _, i: F.when(i == F.col("position"), 0.0).otherwise(1.0)))
     return r.select(key, "position", F.greatest(drop, F.lit(0.0)).alias("importance"))
 
 

@@ -113,9 +113,9 @@ def turns(spark, d) -> DataFrame:
 
 
 def tokens(spark, d) -> DataFrame:
-    """(pair_id, tokens, scores): words of answers, scored by their length and place."""
+    """(pair_id, tokens, scores): all words of every answer that has any, scored by their length and place."""
     t = F.filter(F.split(F.lower(normalize_text(F.col("answer_text"))), " "), lambda x: x != "")
-    p = pairs(spark, d).select("pair_id", t.alias("tokens")).where(F.size("tokens").between(1, 40))
+    p = pairs(spark, d).select("pair_id", t.alias("tokens")).where(F.size("tokens") > 0)
     return p.withColumn("scores", F.transform("tokens", lambda x, i: (F.length(x) % 7 + (i % 3) * 0.25).cast("double")))
 
 
