@@ -619,7 +619,7 @@ def bootstrap_ci(spark, d):
     p = b.predictions(spark, d)
     hit = ((F.col("prob") >= 0.5).cast("int") == F.col("y")).cast("int")
     err = F.col("car") - F.col("score")
-    return metrics.bootstrap(p, "call_id", {"accuracy": lambda w: F.sum(w * hit) / F.sum(w), "rmse": lambda w: F.sqrt(F.sum(w * err * err) / F.sum(w)), "mae": lambda w: F.sum(w * F.abs(err)) / F.sum(w), "brier": lambda w: F.sum(w * F.pow(F.col("y") - F.col("prob"), 2)) / F.sum(w)}, n_boot=200)
+    return metrics.bootstrap(p, "call_id", {"accuracy": lambda w: F.sum(w * hit) / F.sum(w), "rmse": lambda w: F.sqrt(F.sum(w * err * err) / F.sum(w)), "mae": lambda w: F.sum(w * F.abs(err)) / F.sum(w), "brier": lambda w: F.sum(w * F.pow(F.col("y") - F.col("prob"), 2)) / F.sum(w)}, n_boot=400)
 
 
 @query(f"WITH {PREDICTIONS} SELECT round(avg(((score >= 0) = (car > 0))::INT), 8) AS accuracy, round(sqrt(avg((car - score) ** 2)), 8) AS rmse, count(*) AS rows FROM pred")
@@ -668,7 +668,7 @@ def logistic_calibration(spark, d):
 @query()
 def boosted_classifier(spark, d):
     p = pooling.class_weights(b.predictions(spark, d).join(_study(spark, d).select("call_id", *_FEATURES), "call_id"), "y")
-    return linear.boosted(p, ["score", *_FEATURES], "y", "weight", iterations=5).transform(p).select("call_id", "y", F.col("prediction").cast("int").alias("predicted"))
+    return linear.boosted(p, ["score", *_FEATURES], "y", "weight", iterations=250).transform(p).select("call_id", "y", F.col("prediction").cast("int").alias("predicted"))
 
 
 # ---- latents and rationales ------------------------------------------------------------------------------
