@@ -159,7 +159,12 @@ class Lexicon:
 
     def undo(self, raw: str) -> str:
         """A token without its disguise, if a word of the lexicon lies behind it; else the token."""
-        if raw in self.vocabulary or len(raw) > 64:
+        if raw in self.vocabulary:
+            return raw
+        if len(raw) > 64:  # only what is short once its repeats are folded; a mask's signs stand for a letter each and stay
+            for t in (re.sub(r"([^*#])\1{2,}", r"\1", raw), re.sub(r"([^*#])\1{2,}", r"\1\1", raw)):
+                if len(t) <= 64 and (w := self.undo(t)) in self.vocabulary:
+                    return w
             return raw
         if raw.isalpha():
             return self._alpha(raw)
