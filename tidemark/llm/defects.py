@@ -43,7 +43,7 @@ _LEAD = re.compile(r"(?i)^(?:(?:so,? )?(?:the|your) question (?:is|was)(?: wheth
 
 #: Frequent short words by language, without those many languages share.
 STOPWORDS = {
-    "en": "the of and to is we our at for by with that as it be will was were are you not from more before what how do does if than into which this there who about an your has have had did its until would could can i they but so or on in us",
+    "en": "the of and to is we our at for by with that as it be will was were are you not from more before what how do does if than into which this there who about an your has have had did its until would could can i they but so or on in us no over per plus",
     "de": "der die das und ist wir nicht auch bei den dem des ein eine mit auf für von im zu wie sich unsere unser aber noch um über damit wenn sind wird werden sie ich durch dass oder als zum zur aus nach vor ab es liegt wollen wo dort",
     "fr": "de le la les des aux et est nous pas une un pour dans sur avec que qui du au aux ne mais plus ce cela cette notre nos sont même où être encore là aussi par vous votre soit ont se en d'environ c'est l'an l'année reste près",
     "es": "de el la los las y es en una un para con que del por no se nuestra nuestro nuestros más pero como está estamos donde va también sí lo su unos cerca año al hay muy todavía aunque esperamos queremos llegan llegaron todo depende nos",
@@ -56,9 +56,13 @@ _LANGS = tuple(STOPWORDS)
 _SHOWN = {w: tuple(i for i, lang in enumerate(_LANGS) if w in STOPWORDS[lang].split()) for ws in STOPWORDS.values() for w in ws.split()}
 _LETTERS = {c: _LANGS.index(lang) for lang, cs in _TELLING.items() for c in cs}
 
+#: Words of other languages' lists that the English one lacks, and what parts words.
+_FOREIGN = frozenset(w for w, langs in _SHOWN.items() if _LANGS.index("en") not in langs)
+_PARTS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c not in "'-"} | {"’": "'"})
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*%?")
 _SENT = re.compile(r"(?<=[.!?…])[\"')\]]*\s+(?=[^\W\d_]|[\d$€\"'(¿¡])")
-_END = re.compile(r"[.!?][\"'”’)\]]*$")
+_CLOSERS = "\"'”’)]"
 
 
 def words(text: str) -> list[str]:
@@ -71,8 +75,15 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENT.split(text.strip()) if s.strip()]
 
 
+def closes(text: str) -> bool:
+    """Ends with closing punctuation, quotation marks and brackets behind it aside."""
+    return text.rstrip("\n").rstrip(_CLOSERS)[-1:] in (".", "!", "?")
+
+
 def says_nothing(answer: str | None) -> bool:
     """Null, blank, only punctuation, or a placeholder in any bracket."""
+    if answer and len(answer) > 60 and "[" not in answer and "(" not in answer and "{" not in answer and "<" not in answer and re.search(r"[^\W_]{2}", answer):
+        return len(answer.strip("-–—.…,;:!?*\"' \t\r\n")) <= 30 and bool(PLACEHOLDERS.match(answer.strip("-–—.…,;:!?*\"' \t\r\n")))
     t = " ".join((answer or "").split())
     inner = t.strip("()[]{}<>*-–—.…,;:!?\"' ")
     if not inner or PLACEHOLDERS.match(inner):
@@ -166,8 +177,15 @@ def languages(text: str, parts: list[str] | None = None) -> Iterator[tuple[froze
         yield frozenset(lang for lang, v in zip(_LANGS, score) if v == best) if best >= 1.5 else frozenset(), n
 
 
+def only_english(text: str) -> bool:
+    """No word or letter of the tables speaks for another language more than for English, whatever the sentence."""
+    return text.isascii() and _FOREIGN.isdisjoint(w.strip("'-") for w in text.lower().translate(_PARTS).split())
+
+
 def other_language(question: str, answer: str, parts: list[str] | None = None) -> bool:
     """Mainly in another language than the question, both being clear. A sentence that may be in the question's language counts for it."""
+    if only_english(question) and only_english(answer):
+        return False
     told: Counter = Counter()
     for langs, n in languages(question):
         if len(langs) == 1:
@@ -252,9 +270,9 @@ def context_hashes(parts: list[list[str]], at_ends_only: bool = False) -> tuple[
 def open_ending(answer: str, parts: list[str]) -> tuple[bool, list[int]]:
     """(surely broken off, contexts to look up): a hyphen or an ellipsis behind a word is sure, closing punctuation asks nothing."""
     t = answer.rstrip()
-    if re.search(r"\w\s*(?:-|–|—|…|\.{2,}|[,;:(])$", t) or re.search(r"\s[-–—]$", t):
+    if t[-1] in "-–—….,;:(" and re.search(r"\w\s*(?:-|–|—|…|\.{2,}|[,;:(])$", t) or re.search(r"\s[-–—]$", t):
         return True, []
-    if _END.search(t):
+    if closes(t):
         return False, []
     toks = _TOKEN.findall(parts[-1].lower())
     return False, context_hashes([toks], True)[0].view(np.int64).tolist() if toks else []
@@ -304,7 +322,7 @@ def ending_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
             for column in b.columns:
                 for t in column.to_pylist():
                     for s in sentences(t) if t else ():
-                        if _END.search(s):
+                        if closes(s):
                             toks = _TOKEN.findall(s.lower())
                             if toks:
                                 parts.append(toks)

@@ -25,7 +25,7 @@ CLASSES = {
     "NOTHING": "nothing none",
     "SAY": "comment comments commenting commented discuss discussing discussed discussion disclose disclosing disclosed disclosure divulge divulging divulged reveal revealing revealed speculate speculating speculation elaborate elaborating quantify quantifying quantified itemize opine preview previewing prejudge pre-empt preempt "
     "front-run answer answering answered respond responding reply talk talking talked speak speaking spoken say saying said tell telling share sharing shared guide guiding provide providing provided give giving given offer offering detail detailing confirm confirming deny denying address addressing "
-    "announce announcing release releasing publish publishing published report reporting mention mentioning name naming handicap forecast forecasting predict predicting characterize describe describing explain explaining volunteer clarify specify sayit",
+    "announce announcing release releasing publish publishing published report reporting mention mentioning name naming handicap forecast forecasting predict predicting characterize describe describing explain explaining volunteer clarify specify debate debating available sayit",
     "INFO": "detail details specifics guidance information color colour breakdown comment comments commentary disclosure particulars",
     "NUMBER": "number numbers figure figures data detail details metric metrics breakdown information",
     "SPECIFIC": "specific precise explicit granular concrete detailed",
@@ -51,8 +51,8 @@ CLASSES = {
     "THING": "something anything thing number numbers figure figures metric metrics topic topics subject subjects question questions matter matters detail details item area data conversation discussion story one level information forum venue place",
     "HEAR": "hear hearing get getting find finding learn obtain extract see",
     "FROM": "from",
-    "IMPROPER": "inappropriate improper premature imprudent unwise irresponsible unfair unhelpful wrong early presumptuous",
-    "PROPER": "appropriate proper prudent wise helpful productive fair useful right sensible responsible",
+    "IMPROPER": "inappropriate improper premature imprudent unwise irresponsible unfair unhelpful wrong early soon presumptuous",
+    "PROPER": "appropriate proper prudent wise helpful productive fair useful right sensible responsible constructive",
     "DISAPPOINT": "disappoint disappointing disappointed frustrate",
     "HELP": "help satisfy oblige assist",
     "POLICY": "policy practice convention rule custom principle habit",
@@ -74,16 +74,16 @@ FREE = frozenset(
     "a an the to of on in at for with by as and or so that this these those it its is are be been being am was were will would can could shall should may might must do does did done have has had having going about just really simply actually "
     "currently today now yet here point time moment stage any anything some much more further else either even ever also still then too quite very at all normally usually generally typically historically traditionally publicly openly "
     "deliberately intentionally obviously unfortunately regrettably respectfully politely certainly definitely afraid sorry if when where while what which who how there get go start begin able need ready sure out up down into "
-    "rather prefer choose chosen decided elected want wish like plan intend inclined prepared willing comfortable one only specifically explicitly formally really precisely exactly you your me us i we him her them their from part position".split()
+    "rather prefer choose chosen decided elected want wish like plan intend inclined prepared willing comfortable one only specifically explicitly formally really precisely exactly new formal you your me us i we him her them their from part position".split()
 )
 #: Phrases read as one word.
 PHRASES = {
-    "sayit": r"(?:break|split|carv|breaking|broken|splitting)(?:e|ing)? (?:\w+ )?(?:out|down|apart)|(?:break|split|breaking) (?:that|this|it|those|them) \w+|(?:go|going|gone|get|getting|dig|drill|dive|wade|delve|step|look) (?:any )?(?:further |deeper )?(?:into|inside|beyond)|(?:touch|weigh|expand|opine|comment|elaborate|be drawn) (?:in )?(?:on|into)|"
+    "sayit": r"(?:break|split|carv|breaking|broken|splitting)(?:e|ing)? (?:\w+ )?(?:out|down|apart)|(?:break|split|breaking) (?:that|this|it|those|them) \w+|(?:go|going|gone|get|getting|dig|drill|dive|wade|delve|step|look) (?:any )?(?:further |deeper )?(?:into|inside|beyond)|go (?:any )?(?:further|deeper)|(?:touch|weigh|expand|opine|comment|elaborate|be drawn) (?:in )?(?:on|into)|"
     r"(?:speak|talk) to|put (?:a|any|an|exact|specific)(?: \w+)? (?:number|figure|price|date|percentage|range|timeline)s?(?: on| to)?|(?:go|going|went|goes) (?:there|down that (?:road|path|route|hole))|take (?:the|that|your) bait|(?:get|go) ahead of (?:ourselves|myself|it|that|the|our)|show (?:you )?our (?:hand|cards)|tip our hand|open(?:ing)? (?:the|that|our) (?:books?|door|kimono)|play (?:that|this) game|"
     r"shed (?:any |more )?light|lift the (?:lid|curtain|veil)|bite on|be drawn|name names|read (?:out )?(?:the|that)? ?tea leaves|make (?:any )?(?:predictions?|forecasts?|announcements?|statements?|comments?|news)|give (?:any |you )?(?:a )?(?:guidance|colou?r|steer|hints?|clues?)",
     "passit": r"(?:pass|take a pass|punt|skip|dodge|sidestep|duck)(?: on)? (?:that|this|it|the|your|these|those)(?: (?:one|question|topic))?(?! to\b| along\b| over\b| through\b)|(?:will|would|must|have to|going to|let me|me) (?:pass|take a pass|punt|skip)(?= eos)|let (?:that|this|it)(?: \w+)? (?:go by|go|slide|pass|drop)(?= eos)|plead the fifth|take the fifth",
-    "secretit": r"between (?:us|ourselves)|under (?:wraps|embargo|seal|nda)|off (?:limits|the table|the record|bounds)|close to (?:the|our|my) (?:vest|chest)|in confidence|to (?:ourselves|myself)|in house (?:only|matter)|behind closed doors|out of (?:the )?(?:public|bounds)|not (?:for|in the) public(?: \w+)?|within (?:the )?(?:company|building|these walls)",
-    "sealedit": r"(?:for )?(?:competitive|competition|commercial|legal|confidentiality|regulatory|contractual|obvious) reasons|(?:our|my) (?:hands are tied|lips are sealed)|non.disclosure|quiet period|(?:commercially|market|price|competitively) sensitive|trade secrets?|no comments?|(?:bound by|under) (?:\w+ )?confidentiality|that is above my pay ?grade|stay tuned|(?:our|my) powder dry|(?:stay|remain|keep|be|keeping|staying|remaining) (?:silent|quiet|mum|tight lipped|tight-lipped)|nice try|(?:let|leave)(?: \w+){1,4} speak for (?:themselves|itself)|(?:a|the|another) time and (?:a )?place|(?:would|might|could|may) be (?:getting ahead of|giving away|tipping|violating|breaching|breaking)",
+    "secretit": r"between (?:\w+ ){1,4}and (?:us|me|ourselves)|inside (?:the |this |our )?(?:company|building|firm|house)|between (?:us|ourselves)|under (?:wraps|embargo|seal|nda)|off (?:limits|the table|the record|bounds)|close to (?:the|our|my) (?:vest|chest)|in confidence|to (?:ourselves|myself)|in house (?:only|matter)|behind closed doors|out of (?:the )?(?:public|bounds)|not (?:for|in the) public(?: \w+)?|within (?:the )?(?:company|building|these walls)",
+    "sealedit": r"(?:for )?(?:competitive|competition|commercial|legal|confidentiality|regulatory|contractual|obvious) reasons|(?:our|my) (?:hands are tied|lips are sealed)|non.disclosure|quiet period|(?:commercially|market|price|competitively) sensitive|trade secrets?|no comments?|(?:bound by|under) (?:\w+ )?confidentiality|that is above my pay ?grade|stay tuned|(?:our|my) powder dry|(?:stay|remain|keep|be|keeping|staying|remaining) (?:silent|quiet|mum|tight lipped|tight-lipped)|nice try|let us wait|(?:point|refer|direct) you (?:back )?to|(?:let|leave)(?: \w+){1,4} speak for (?:themselves|itself)|(?:a|the|another) time and (?:a )?place|(?:would|might|could|may) be (?:getting ahead of|giving away|tipping|violating|breaching|breaking)",
     "inhouseit": r"in house|in the (?:house|family|vault)",
     "opposeit": r"have (?:my|our) (?:head|heads|hide|skin|job|neck)|not be (?:happy|pleased|amused)",
     "ableit": r"at liberty|in (?:a|any) position|in the (?:business|habit) of|free to|at a (?:point|stage) (?:where|to)",
@@ -163,6 +163,7 @@ TEMPLATES = tuple(
         "NEG THING LATER",
         "THING LATER",
         "YOU _ WAIT",
+        "WAIT _ LATER",
         "MORE SAY _ LATER",
         "ASK SELF _ LATER",
         "DISAPPOINT YOU",
@@ -221,6 +222,12 @@ _COMPILED = _compiled()
 #: No template can be aligned without one of these.
 _CORE = sum(_BIT[c] for c in ("NEG", "FNEG", "DECLINE", "PASS", "REFUSE", "KEEP", "SECRET", "FSECRET", "SEALED", "LATER", "WAIT", "AVOID", "OPPOSE", "FORBID", "IMPROPER", "DISAPPOINT", "NOTHING", "ASKTHEM", "WHEN"))
 
+#: Every template needs a word of _CORE, or a phrase that stands for one; each such phrase holds one of these words.
+_GATE = frozenset(w for w, b in _WORDS.items() if b & _CORE) | frozenset(
+    "pass punt skip dodge sidestep duck let fifth between under off close confidence ourselves myself doors public in within reasons tied sealed disclosure non-disclosure period sensitive secret secrets comment comments bound paygrade grade tuned powder silent quiet mum tight tight-lipped "
+    "try speak place ahead giving tipping violating breaching breaking another next later future following due when right appropriate proper day line ask house family vault head heads hide skin job neck happy pleased amused inside further deeper wait point refer direct themselves itself".split()
+)
+
 
 def tokens(clause: str) -> list[str]:
     """Lower-case words, contractions written out, phrases as one word."""
@@ -237,6 +244,8 @@ def withholding(words: list[str]) -> float:
     An alignment of m elements scores m / (m + costs); each word between two
     elements costs GAP, words of grammar and in slots nothing. Linear in the words.
     """
+    if _GATE.isdisjoint(words):
+        return 0.0
     line = " ".join(words) + " eos"
     words = [x for x in _PHRASE.sub(lambda m: m.lastgroup, line).split() if x != "eos"]
     bits = [_WORDS.get(w, 0) for w in words]
