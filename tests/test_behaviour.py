@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,5 +386,42 @@ def test_spellings(spark):
 def test_encoder_and_ablation(spark):
     e = spark.createDataFrame([([1.0, -1.0], 1), ([2.0, 0.0], 0)], "v array<double>, y int")
     assert rows(latent.encode(e, "v", np.eye(2), np.zeros(2)), "latent") == [[1.0, 0.0], [2.0, 0.0]]
-    assert latent.ablation(e, "v", [0]).first()["delta"] == pytest.approx(5 / 4)
+    half = (np.eye(2), np.zeros(2)), (np.eye(2) / 2, np.zeros(2))
+    a = latent.ablation(e, "v", *half, [0]).first()  # decoded (0.5, 0), (1, 0); without the first latent zeros
+    assert (a["mse_base"], a["mse_ablated"]) == (pytest.approx((0.25 + 1 + 1) / 4), pytest.approx(6 / 4)) and a["delta"] == pytest.approx(a["mse_ablated"] - a["mse_base"])
+    nulls = spark.createDataFrame([([1.0, -1.0], 1), (None, 0)], "v array<double>, y int")
+    assert latent.ablation(nulls, "v", *half, []).first()["delta"] == 0 and latent.ablation(nulls.limit(0), "v", *half, [0]).first()["delta"] is None
     assert {r["feature"]: r["label_corr"] for r in latent.feature_report(e, "v", "y").collect()}[0] == pytest.approx(-1)
+
+
+def test_turns_without_numbers_keep_the_delivered_order(spark):
+    t = spark.createDataFrame([("c", "T", "2024-01-02", " Analyst ", "Q&A", "z  first", 1, "f"), ("c", "T", "2024-01-02", "operator", "q&a", "a second", 2, "f")], "call_id string, ticker string, event_date string, speaker_role string, section string, text string, row int, file string")
+    got = parsing.project_turns(t, ["file", "row"]).orderBy("turn_id").collect()
+    assert [(r["turn_id"], r["speaker_role"], r["text"]) for r in got] == [(1, "analyst", "z first"), (2, "operator", "a second")]
+    with pytest.raises(ValueError):
+        parsing.project_turns(t)
+
+
+def test_hot_values_and_quantiles(spark):
+    rng = np.random.default_rng(5)
+    v = [1.5] * 400 + rng.normal(size=300).round(2).tolist() + [None] * 20
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v double")
+    got = {r["i"]: r["r"] for r in universe.average_rank(d, "v", "r").collect()}
+    want = pd.Series(v).rank(method="average")
+    assert len(got) == len(v) and all((got[i] is None and np.isnan(want[i])) or got[i] == want[i] for i in got)
+    q = universe.quantiles(d, "v", [0.0, 0.05, 0.5, 0.9, 1.0]).first()["q"]
+    assert q == pytest.approx(np.nanquantile(np.array(v, float), [0, 0.05, 0.5, 0.9, 1]))
+    assert universe.quantiles(d.limit(0), "v", [0.5]).first()["q"] == [None]
+
+
+def test_poisson_weights():
+    w = metrics.poisson_weights(np.arange(20_000), 20, 1)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and (w == metrics.poisson_weights(np.arange(20_000), 20, 1)).all()
+
+
+def test_additive_scorers_equal_the_general_way(spark):
+    d = spark.createDataFrame([("a", ["one", "[CLS]", "three", "four"], [1.0, 5.0, 2.0, 2.0]), ("b", ["x"], [1.0]), ("c", [], [])], "k string, tokens array<string>, scores array<double>")
+    quick = attribution.Additive(F.length)
+    slow = lambda t, m: quick(t, m)
+    for f in (lambda s: attribution.perturbation(d, "k", s), lambda s: attribution.random_baseline(d, "k", s, 2, 5)):
+        assert sorted(map(tuple, f(quick).collect())) == [tuple(pytest.approx(x) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, f(slow).collect()))]

@@ -50,9 +50,9 @@ def test_only_mapped_columns_are_read(spark, root):
 
 
 def test_events_and_payloads(spark, tmp_path):
-    (tmp_path / "e.csv").write_text("record_key,ticker,event_date\nr1,ab,2024-01-01\nr1,ab,2024-01-01\nr2,,2024-01-01\n")
+    (tmp_path / "e.csv").write_text("record_key,ticker,event_date,cik,note\nr1,ab,2024-01-01,12,x\nr1,ab,2024-01-01,12,y\nr2,,2024-01-01,,\n")
     e = readers.load_events(spark, str(tmp_path / "e.csv"))
-    assert [tuple(r) for r in e.collect()] == [("r1", "AB", date(2024, 1, 1))]
+    assert [tuple(r) for r in e.collect()] == [("r1", "AB", date(2024, 1, 1), "0000000012")]
     (tmp_path / "bad.csv").write_text("a\n1\n")
     with pytest.raises(ValueError):
         readers.load_events(spark, str(tmp_path / "bad.csv"))

@@ -54,6 +54,12 @@ def digits_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(d, "^0+", ""), F.lit(""))
 
 
+def padded_cik(c: Column) -> Column:
+    """A company number as ten digits; null without any digit, ten zeros where all are."""
+    d = F.regexp_replace(F.regexp_replace(F.trim(c), "\\.0+$", ""), "[^0-9]", "")
+    return F.when(d != "", F.lpad(F.regexp_replace(d, "^0+", ""), 10, "0"))
+
+
 def text_hash(c: Column) -> Column:
     """sha256 of the lower-cased, squeezed text; blank and null give null."""
     t = F.lower(normalize_text(c))

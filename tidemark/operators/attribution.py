@@ -14,6 +14,25 @@ SPECIAL_TOKENS = ("[CLS]", "[SEP]", "[PAD]", "<s>", "</s>", "<pad>")
 Scorer = Callable[[Column, Column], Column]
 
 
+class Additive:
+    """A scorer whose tokens add up: the weight of the kept tokens over all. Its curves need one pass over the tokens, not one per masking."""
+
+    def __init__(self, weight: Callable[[Column], Column]) -> None:
+        self.weight = weight
+
+    def weights(self, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: self.weight(t).cast("double"))
+
+    def __call__(self, tokens: Column, mask: Column) -> Column:
+        n = self.weights(tokens)
+        kept = F.aggregate(F.zip_with(n, mask, lambda a, m: a * m), F.lit(0.0), lambda a, x: a + x)
+        return kept / F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+
 def minmax(scores: Column) -> Column:
     """Scores moved to 0..1; all 0 where they hardly differ."""
     lo, hi = F.array_min(scores), F.array_max(scores)
@@ -75,7 +94,14 @@ def curve_area(curve: DataFrame, key: str) -> DataFrame:
 
 def random_baseline(rows: DataFrame, key: str, scorer: Scorer, k: int, trials: int = 25, seed: int = 42) -> DataFrame:
     """(key, random_mean, random_std, random_n): comprehensiveness of random rationales, drawn by hash so that re-runs agree."""
-    r = rows.where(F.size("tokens") > 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("__t"))
+    r = rows.where(F.size("tokens") > 0)
+    if isinstance(scorer, Additive):
+        r = r.select(key, scorer.weights(F.col("tokens")).alias("__w"))
+        r = r.select(key, "__w", _sum(F.col("__w")).alias("__s"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("__t"))
+        draw = F.transform("__w", lambda x, i: F.struct(F.xxhash64(F.col(key), F.col("__t"), i, F.lit(seed)).alias("h"), i.alias("i"), x.alias("w")))
+        v = F.aggregate(F.slice(F.array_sort(draw), 1, max(k, 1)), F.lit(0.0), lambda a, x: a + x["w"]) / F.col("__s")
+        return r.withColumn("__v", v).groupBy(key).agg(F.avg("__v").alias("random_mean"), F.stddev_pop("__v").alias("random_std"), F.count("*").alias("random_n"))
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("__t"))
     draw = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.struct(F.xxhash64(F.col(key), F.col("__t"), i, F.lit(seed)).alias("h"), i.alias("i")))
     drawn = F.transform(F.slice(F.array_sort(draw), 1, max(k, 1)), lambda s: s["i"])
     t = F.col("tokens")
@@ -86,6 +112,10 @@ def random_baseline(rows: DataFrame, key: str, scorer: Scorer, k: int, trials: i
 def perturbation(rows: DataFrame, key: str, scorer: Scorer) -> DataFrame:
     """(key, position, importance): how far the score falls without each token, never below 0; special tokens left out."""
     t = F.col("tokens")
+    if isinstance(scorer, Additive):
+        r = rows.where(F.size("tokens") > 0).withColumn("__w", scorer.weights(t)).withColumn("__s", _sum(F.col("__w")))
+        r = r.select(key, "__s", F.posexplode(F.arrays_zip(F.col("tokens").alias("t"), F.col("__w").alias("w"))).alias("position", "__x"))
+        return r.where(~F.col("__x.t").isin(*SPECIAL_TOKENS)).select(key, "position", F.greatest(F.col("__x.w") / F.col("__s"), F.lit(0.0)).alias("importance"))
     r = rows.withColumn("__f", scorer(t, F.transform(t, lambda _: F.lit(1.0))))
     r = r.select("*", F.posexplode("tokens").alias("position", "__w")).where(~F.col("__w").isin(*SPECIAL_TOKENS))
     drop = F.col("__f") - scorer(t, F.transform(t, lambda _, i: F.when(i == F.col("position"), 0.0).otherwise(1.0)))

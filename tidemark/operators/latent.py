@@ -24,11 +24,36 @@ def top_features(report: DataFrame, by: str, n: int) -> DataFrame:
     return report.orderBy(F.desc(F.abs(by)), "feature").limit(n)
 
 
-def ablation(rows: DataFrame, vec: str, removed: list[int]) -> DataFrame:
-    """(mse_base, mse_ablated, delta) of the vectors against themselves with the listed features at 0."""
-    keep = F.transform(F.col(vec), lambda x, i: F.when(i.isin([int(r) for r in removed]), 0.0).otherwise(x.cast("double"))) if removed else F.transform(F.col(vec), lambda x: x.cast("double"))
-    err = F.aggregate(F.zip_with(keep, F.col(vec), lambda a, b: (a - b.cast("double")) * (a - b.cast("double"))), F.lit(0.0), lambda a, b: a + b)
-    return rows.agg(F.lit(0.0).alias("mse_base"), (F.sum(err) / F.sum(F.size(vec))).alias("mse_ablated"), (F.sum(err) / F.sum(F.size(vec))).alias("delta"))
+def reconstruct(rows: DataFrame, vec: str, encoder: tuple[np.ndarray, np.ndarray], decoder: tuple[np.ndarray, np.ndarray], removed: list[int] = (), into: str = "decoded") -> DataFrame:
+    """Adds relu(x W + b) V + c by Arrow batches, the listed latents set to 0 before decoding. Null vectors stay null."""
+    (w, b), (v, c) = encoder, decoder
+    gone = [int(r) for r in removed]
+
+    @F.pandas_udf("array<double>")
+    def both(x: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(x), dtype=object)
+        there = np.flatnonzero(x.notna().to_numpy())
+        if len(there):
+            z = np.maximum(np.stack(x.to_numpy()[there]).astype(float) @ w + b, 0.0)
+            z[:, gone] = 0.0
+            for i, y in zip(there, z @ v + c):
+                out.iat[i] = y
+        return out
+
+    return rows.withColumn(into, both(F.col(vec)))
+
+
+def reconstruction_error(rows: DataFrame, vec: str, decoded: str):
+    """The squared error summed over a row's components, as an expression; null for null vectors."""
+    return F.aggregate(F.zip_with(decoded, vec, lambda a, b: (a - b.cast("double")) * (a - b.cast("double"))), F.lit(0.0), lambda a, b: a + b)
+
+
+def ablation(rows: DataFrame, vec: str, encoder: tuple[np.ndarray, np.ndarray], decoder: tuple[np.ndarray, np.ndarray], removed: list[int]) -> DataFrame:
+    """(mse_base, mse_ablated, delta): the autoencoder's mean squared reconstruction error, and with the listed latents at 0."""
+    r = reconstruct(reconstruct(rows, vec, encoder, decoder, into="__all"), vec, encoder, decoder, removed, "__less")
+    n = F.sum(F.size(vec))
+    one = r.where(F.col(vec).isNotNull()).agg((F.sum(reconstruction_error(r, vec, "__all")) / n).alias("mse_base"), (F.sum(reconstruction_error(r, vec, "__less")) / n).alias("mse_ablated"))
+    return one.withColumn("delta", F.col("mse_ablated") - F.col("mse_base"))
 
 
 def label_alignment(rows: DataFrame, vec: str, label: str, n: int = 20) -> DataFrame:

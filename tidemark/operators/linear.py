@@ -103,7 +103,7 @@ class Calibrator:
         return F.lit(float(self.rate)) if self.constant else 1 / (1 + F.exp(-(F.col(self.score) * self.w + self.b)))
 
 
-def boosted(train: DataFrame, features: list[str], label: str, weight: str | None = None, iterations: int = 20):
+def boosted(train: DataFrame, features: list[str], label: str, weight: str | None = None, iterations: int = 250):
     """A gradient boosted classifier of Spark ML over imputed features; similar to, not equal to, histogram boosting."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier

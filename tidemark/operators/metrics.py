@@ -6,10 +6,14 @@ part of the work is as large as the number of distinct scores, not of rows.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.universe import average_rank, prefix_sums
+from tidemark.operators.universe import average_rank, prefix_sums, quantiles
 
 
 def _by_score(p: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
@@ -69,7 +73,7 @@ def calibration_error(p: DataFrame, y: str, prob: str, bins: int = 10) -> DataFr
 
 def calibration_curve(p: DataFrame, y: str, prob: str, bins: int = 10) -> DataFrame:
     """(bin, rows, mean_predicted, fraction_positive) between quantile edges."""
-    edges = p.agg(F.percentile(prob, [i / bins for i in range(1, bins)]).alias("e"))
+    edges = quantiles(p, prob, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "e")
     b = F.size(F.filter("e", lambda x: x <= F.col(prob)))
     return p.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.count("*").alias("rows"), F.avg(prob).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("fraction_positive"))
 
@@ -96,29 +100,51 @@ def select_threshold(p: DataFrame, y: str, prob: str, objective: str = "accuracy
     return c.agg(best.alias("x")).select(F.col("x.t").alias("threshold"), (-F.col("x.a")).alias("score"))
 
 
-def bootstrap(p: DataFrame, key: str, metrics: dict, n_boot: int = 400, seed: int = 42) -> DataFrame:
+#: Resamples' weights: Poisson(1) up to where the rest is below the resolution of the draw (2 ** -40).
+_POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(16)])
+_ROWS = 4096
+
+
+def poisson_weights(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """(rows, n_boot) Poisson(1) weights, drawn from each row's own 64-bit key so that re-runs agree."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.int64).view(np.uint64)[:, None] ^ (np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :]
+        for shift, prime in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(prime)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(24)).astype(float) / (1 << 40), side="right").astype(float)
+
+
+def bootstrap(p: DataFrame, key: str, sums: dict, metrics: dict, n_boot: int = 400, seed: int = 42) -> DataFrame:
     """(metric, lower, upper): 95% intervals over Poisson resamples.
 
-    Each row enters resample b with a Poisson(1) weight drawn from its own key, so
-    resamples are made in one pass without shuffling rows to samples. ``metrics`` maps a
-    name to a weighted aggregate, a function of the weight column.
+    Each row enters resample b with a Poisson(1) weight drawn from its own key. ``sums``
+    maps names to columns whose weighted sums are taken, ``metrics`` names to functions of
+    these sums (a dict of columns; ``n`` is the sum of weights). Within a batch the sums of
+    all resamples are one matrix product; a task gives n_boot rows, whatever its input.
+    A null counts as 0.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("__b"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    cdf, k, acc, weight = 0.0, 1.0, 2.718281828459045**-1, F.lit(8)
-    steps = []
-    for i in range(8):
-        cdf += acc / k
-        steps.append((i, cdf))
-        k *= i + 1
-    for i, c in reversed(steps):
-        weight = F.when(u < c, i).otherwise(weight)
-    s = p.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("__w", weight).where("__w > 0")
-    one = s.groupBy("__b").agg(*[f(F.col("__w")).alias(m) for m, f in metrics.items()])
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias("v")) for m in metrics]))
-    return one.select(rows.alias("x")).groupBy("x.metric").agg(F.percentile("x.v", 0.025).alias("lower"), F.percentile("x.v", 0.975).alias("upper"))
-
-
-def leaderboard(rows: DataFrame, name: str, spearman: str, auroc: str) -> DataFrame:
-    """The best row by validation Spearman, then AUROC; missing ones lose, ties go to the smaller name."""
+    names = list(sums)
+    rows = p.select(F.xxhash64(key).alias("k"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(sums.values())])
+
+    def run(batches):
+        total = np.zeros((n_boot, len(names) + 1))
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *(b.column(i + 1).to_numpy() for i in range(len(names)))])
+            k = b.column(0).to_numpy()
+            for at in range(0, len(k), _ROWS):
+                total += poisson_weights(k[at : at + _ROWS], n_boot, seed).T @ x[at : at + _ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *(pa.array(total[:, i]) for i in range(len(names) + 1))], ["b", "n", *(f"s{i}" for i in range(len(names)))])
+
+    parts = rows.mapInArrow(run, ", ".join(["b bigint", "n double", *(f"s{i} double" for i in range(len(names)))]))
+    one = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names))]).where("n > 0")
+    got = {"n": F.col("n")} | {c: F.col(f"s{i}") for i, c in enumerate(names)}
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.nanvl(f(got).cast("double"), F.lit(None).cast("double")).alias("v")) for m, f in metrics.items()]))
+    return one.select(values.alias("x")).groupBy("x.metric").agg(F.percentile("x.v", 0.025).alias("lower"), F.percentile("x.v", 0.975).alias("upper"))
+
+
+def leaderboard(rows: DataFrame, name: str, spearman: str, auroc: str, listed: tuple[str, ...] = ()) -> DataFrame:
+    """The best row by validation Spearman, then AUROC; missing ones lose, ties go to the first listed name, else the smaller one."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, listed)), F.col(name)), F.lit(0)) if listed else F.lit(0)
     low = lambda c: -F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(float("-inf")))
-    return rows.agg(F.min_by(F.struct(*rows.columns), F.struct(low(spearman).alias("a"), low(auroc).alias("b"), F.col(name).alias("c"))).alias("x")).select("x.*")
+    return rows.agg(F.min_by(F.struct(*rows.columns), F.struct(low(spearman).alias("a"), low(auroc).alias("b"), place.alias("p"), F.col(name).alias("c"))).alias("x")).select("x.*")

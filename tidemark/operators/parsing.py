@@ -119,12 +119,18 @@ def parse_records(records: DataFrame, key: str, text: str, segments: str) -> tup
     return turns.drop("idx"), audit
 
 
-def project_turns(frame: DataFrame) -> DataFrame:
-    """Required columns checked, role and section lowered and stripped, a missing turn_id numbered within the call as delivered in ``text`` order."""
+def project_turns(frame: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Required columns checked, role and section lowered and stripped, texts with single blanks; a missing turn_id is numbered from 1 within the call.
+
+    Rows of a table have no order of their own, so numbering needs ``order``: the columns that
+    give the delivered order (a file and its row number, say). Ties are told apart by role, section and text.
+    """
     need = {"call_id", "ticker", "event_date", "speaker_role", "section", "text"}
     if missing := need - set(frame.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    out = frame.withColumns({c: F.lower(F.trim(c)) for c in ("speaker_role", "section")})
+    out = frame.withColumns({c: F.lower(F.trim(c)) for c in ("speaker_role", "section")} | {"text": normalize_text(F.col("text")), "event_date": F.col("event_date").try_cast("date")})
     if "turn_id" not in frame.columns:
-        out = out.withColumn("turn_id", F.row_number().over(Window.partitionBy("call_id").orderBy("text")))
+        if not order:
+            raise ValueError("turns without turn_id need the columns of their delivered order")
+        out = out.withColumn("turn_id", F.row_number().over(Window.partitionBy("call_id").orderBy(*order, "speaker_role", "section", "text")))
     return out.select("call_id", "ticker", "event_date", "turn_id", "speaker_role", "section", "text")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.universe import quantiles
+
 
 def _ranked(scores: DataFrame, by: list[str], order: str, score: str) -> DataFrame:
     return scores.where(F.col(score).isNotNull()).withColumns({"__i": F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1, "__n": F.count("*").over(Window.partitionBy(*by))})
@@ -66,12 +68,12 @@ def scaler(train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def winsorise(train: DataFrame, everything: DataFrame, target: str, q: float = 0.05) -> DataFrame:
-    """``everything`` with transformed: the target clipped to the train quantiles q and 1-q, centred and scaled by the clipped train values."""
-    cut = train.agg(F.percentile(target, q).alias("lo"), F.percentile(target, 1 - q).alias("hi"))
+    """``everything`` with transformed: the target clipped to the train quantiles q and 1-q, centred and scaled by the clipped train values; and restored, the inverse (the clipped target)."""
+    cut = quantiles(train, target, [q, 1 - q]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     clip = lambda: F.least(F.greatest(F.col(target), F.col("lo")), F.col("hi"))
     fit = train.crossJoin(F.broadcast(cut)).withColumn("__c", clip()).agg(F.avg("__c").alias("mu"), F.stddev_pop("__c").alias("sd"))
     sd = F.when(F.col("sd") >= 1e-8, F.col("sd")).otherwise(1.0)
-    return everything.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit)).withColumn("transformed", (clip() - F.col("mu")) / sd).drop("lo", "hi", "mu", "sd")
+    return everything.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit)).withColumn("transformed", (clip() - F.col("mu")) / sd).withColumn("restored", F.col("transformed") * sd + F.col("mu")).drop("lo", "hi", "mu", "sd")
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -31,7 +31,7 @@ def day_sql(x: str) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({t}, '{s}') THEN try_strptime({t}, '{f}')::DATE END" for s, f in shapes) + ")"
 
 
-CALLS = f"calls AS (SELECT call_id, max({ticker_sql('ticker')}) AS ticker, max(event_date) AS event_date, max(car_horizon) AS car, max(label) AS label FROM call_features WHERE call_id IS NOT NULL GROUP BY call_id)"
+CALLS = f"calls AS (SELECT call_id, {ticker_sql('s[2]')} AS ticker, s[3] AS event_date, s[4] AS car, s[5] AS label FROM (SELECT call_id, max(row(updated_at, ticker, event_date, car_horizon, label)) AS s FROM call_features WHERE call_id IS NOT NULL GROUP BY call_id))"
 PAIRS = "pairs AS (SELECT x.* FROM (SELECT arg_max(q, parsed_at) AS x FROM qa_pairs q WHERE pair_id IS NOT NULL GROUP BY pair_id))"
 RECORDS = "records AS (SELECT x.* FROM (SELECT arg_max(t, ingested_at) AS x FROM transcript_record t WHERE record_key IS NOT NULL GROUP BY record_key))"
 GRID = f"""s0 AS (SELECT {ticker_sql('ticker')} AS ticker, trade_date, max(CASE WHEN isnan(stock_return) THEN NULL ELSE stock_return END) AS r FROM daily_returns GROUP BY 1, 2),
@@ -62,8 +62,9 @@ def latest(df: DataFrame, key: str, at: str, columns: list[str] | None = None) -
 
 
 def calls(spark, d) -> DataFrame:
-    c = read_table(spark, d, "call_features").where("call_id is not null")
-    return c.groupBy("call_id").agg(F.max(canonical_ticker(F.col("ticker"))).alias("ticker"), F.max("event_date").alias("event_date"), F.max("car_horizon").alias("car"), F.max("label").alias("label"))
+    """One row per call: its latest update whole (of updates of one time the greatest)."""
+    c = read_table(spark, d, "call_features").where("call_id is not null").groupBy("call_id").agg(F.max(F.struct("updated_at", "ticker", "event_date", "car_horizon", "label")).alias("x"))
+    return c.select("call_id", canonical_ticker(F.col("x.ticker")).alias("ticker"), "x.event_date", F.col("x.car_horizon").alias("car"), "x.label")
 
 
 def pairs(spark, d) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -338,8 +339,7 @@ def event_dates(spark, d):
 @query(r"SELECT DISTINCT cik AS raw, nullif(regexp_replace(regexp_replace(regexp_replace(trim(cik), '\.0+$', ''), '[^0-9]', '', 'g'), '^0+', ''), '') AS cik, CASE WHEN cik IS NOT NULL AND regexp_replace(regexp_replace(trim(cik), '\.0+$', ''), '[^0-9]', '', 'g') <> '' THEN lpad(regexp_replace(regexp_replace(regexp_replace(trim(cik), '\.0+$', ''), '[^0-9]', '', 'g'), '^0+', ''), 10, '0') END AS padded FROM universe")
 def company_numbers(spark, d):
     u = read_table(spark, d, "universe").select("cik").distinct()
-    digits = F.regexp_replace(F.regexp_replace(F.trim("cik"), r"\.0+$", ""), "[^0-9]", "")
-    return u.select(F.col("cik").alias("raw"), text.digits_key(F.col("cik")).alias("cik"), F.when(digits != "", F.lpad(F.regexp_replace(digits, "^0+", ""), 10, "0")).alias("padded"))
+    return u.select(F.col("cik").alias("raw"), text.digits_key(F.col("cik")).alias("cik"), text.padded_cik(F.col("cik")).alias("padded"))
 
 
 # RE2 has no look-behind: blanks behind colons are doubled, so that each match leaves one for the next.
@@ -442,6 +442,12 @@ def pair_positions(spark, d):
     return rnd(big(p, "pair_position_from_end"), 6, "pair_position_frac").select("pair_id", "pair_position_frac", "pair_position_from_end")
 
 
+@query(f"WITH {STRUCTURED}, {RECORDS.replace('records AS', 'rec2 AS')} SELECT call_id, {ticker_sql('r.ticker')} AS ticker, {day_sql('r.event_date')} AS event_date, row_number() OVER (PARTITION BY call_id ORDER BY idx)::BIGINT AS turn_id, speaker_role, section, text FROM turns JOIN rec2 r ON r.record_key = call_id")
+def projected_turns(spark, d):
+    """Parsed turns numbered anew in their delivered order."""
+    return big(parsing.project_turns(b.turns(spark, d).withColumnRenamed("turn_id", "at"), ["at"]), "turn_id")
+
+
 # ---- joins and sets ----------------------------------------------------------------------------
 
 
@@ -501,10 +507,18 @@ def fold_summary(spark, d):
     return big(splits.fold_summary(splits.rolling_splits(c, 100, 40, 40, 40), c, b.pairs(spark, d)), "fold", "pairs")
 
 
-@query()
+_COVERAGE = {"pre_event_return": 0.9, "qa_count": 0.99, "SUE_EPS": 0.65}
+
+
+@query(f"{_WINDOWS}, pos AS{_POS.split(", pos AS")[1]}, fo AS (SELECT call_id, pos, n, unnest(range(0, greatest((n - 100 - 40 - 40) // 40 + 1, 0))) AS fold FROM pos), folds AS (SELECT fold, CASE WHEN pos < 100 + fold * 40 THEN 'train' WHEN pos < 140 + fold * 40 THEN 'val' WHEN pos < 180 + fold * 40 THEN 'test' END AS split, call_id FROM fo), fs AS (SELECT * FROM folds WHERE split IS NOT NULL), {PAIRS}, pc AS (SELECT call_id, count(*) AS k FROM pairs GROUP BY call_id), {REPORTS}, sue AS (SELECT ticker, event_date, max(CASE WHEN estimated_eps <> 0 THEN (reported_eps - estimated_eps) / abs(estimated_eps) END) AS s FROM reports GROUP BY ALL), c AS (SELECT e.call_id, e.pre_5 AS pre_event_return, pc.k AS qa_count, sue.s AS sue FROM e LEFT JOIN pc USING (call_id) LEFT JOIN sue ON sue.ticker = e.ticker AND sue.event_date = e.event_date), cov AS (SELECT count(*) AS n, avg((pre_event_return IS NOT NULL)::INT) AS a, avg((qa_count IS NOT NULL)::INT) AS q, avg((sue IS NOT NULL AND NOT isnan(sue))::INT) AS s FROM c), tcov AS (SELECT fold, avg((pre_event_return IS NOT NULL)::INT) AS a, avg((qa_count IS NOT NULL)::INT) AS q, avg((sue IS NOT NULL AND NOT isnan(sue))::INT) AS s FROM fs JOIN c USING (call_id) WHERE split = 'train' GROUP BY fold), sz AS (SELECT fold, split, coalesce(sum(k), 0) AS p FROM fs LEFT JOIN pc USING (call_id) GROUP BY ALL), rules AS (SELECT 'error' AS level, 'min_calls' AS code, NULL::INT AS fold, n::DOUBLE AS value, {splits.MIN_CALLS}::DOUBLE AS required FROM cov UNION ALL SELECT 'error', 'coverage_pre_event_return', NULL, a, 0.9 FROM cov UNION ALL SELECT 'error', 'coverage_qa_count', NULL, q, 0.99 FROM cov UNION ALL SELECT 'error', 'coverage_SUE_EPS', NULL, s, 0.65 FROM cov UNION ALL SELECT 'error', 'min_pairs', NULL, (SELECT count(*) FROM pairs), {splits.MIN_PAIRS} UNION ALL SELECT 'error', 'min_folds', NULL, (SELECT count(DISTINCT fold) FROM fs), {splits.MIN_FOLDS} UNION ALL SELECT 'error', 'pair_id_repeated', NULL, 0, 0 UNION ALL SELECT 'error', 'orphan_pairs', NULL, -(SELECT count(*) FROM pairs WHERE call_id IS NULL OR call_id NOT IN (SELECT call_id FROM calls)), 0 UNION ALL SELECT 'error', CASE WHEN split = 'train' THEN 'train_pairs' ELSE 'eval_pairs' END, fold, p, CASE WHEN split = 'train' THEN {splits.MIN_TRAIN_PAIRS} ELSE {splits.MIN_EVAL_PAIRS} END FROM sz UNION ALL SELECT 'warning', 'train_coverage_pre_event_return', fold, a, 0.9 FROM tcov UNION ALL SELECT 'warning', 'train_coverage_qa_count', fold, q, 0.99 FROM tcov UNION ALL SELECT 'warning', 'train_coverage_SUE_EPS', fold, s, 0.65 FROM tcov) SELECT level, code, fold::BIGINT AS fold, round(value, 6) AS value, required FROM rules WHERE value < required")
 def fold_validation(spark, d):
-    c = b.calls(spark, d).withColumnRenamed("car", "pre_event_return").withColumn("qa_count", F.lit(1))
-    return splits.validate(c, b.pairs(spark, d), splits.rolling_splits(c, 100, 40, 40, 40), coverage={"pre_event_return": 0.9, "qa_count": 0.99, "SUE_EPS": 0.65})
+    """Broken rules of the training data: returns before the event, number of pairs and earnings surprise of every call, and its folds."""
+    per = b.pairs(spark, d).groupBy("call_id").agg(F.count("*").alias("qa_count"))
+    est, rep = F.col("estimated_eps"), F.col("reported_eps")
+    sue = b.reports(spark, d).groupBy("ticker", "event_date").agg(F.max(F.when(est != 0, (rep - est) / F.abs(est))).alias("SUE_EPS"))
+    c = _study(spark, d).select("call_id", "ticker", "event_date", F.col("pre_5").alias("pre_event_return")).join(per, "call_id", "left").join(sue, ["ticker", "event_date"], "left")
+    v = splits.validate(c, b.pairs(spark, d), splits.rolling_splits(c, 100, 40, 40, 40), coverage=_COVERAGE)
+    return rnd(big(v, "fold"), 6, "value")
 
 
 # ---- pooling -----------------------------------------------------------------------------------------
@@ -619,7 +633,8 @@ def bootstrap_ci(spark, d):
     p = b.predictions(spark, d)
     hit = ((F.col("prob") >= 0.5).cast("int") == F.col("y")).cast("int")
     err = F.col("car") - F.col("score")
-    return metrics.bootstrap(p, "call_id", {"accuracy": lambda w: F.sum(w * hit) / F.sum(w), "rmse": lambda w: F.sqrt(F.sum(w * err * err) / F.sum(w)), "mae": lambda w: F.sum(w * F.abs(err)) / F.sum(w), "brier": lambda w: F.sum(w * F.pow(F.col("y") - F.col("prob"), 2)) / F.sum(w)}, n_boot=400)
+    sums = {"hit": hit, "square": err * err, "size": F.abs(err), "brier": F.pow(F.col("y") - F.col("prob"), 2)}
+    return metrics.bootstrap(p, "call_id", sums, {"accuracy": lambda s: s["hit"] / s["n"], "rmse": lambda s: F.sqrt(s["square"] / s["n"]), "mae": lambda s: s["size"] / s["n"], "brier": lambda s: s["brier"] / s["n"]}, n_boot=400)
 
 
 @query(f"WITH {PREDICTIONS} SELECT round(avg(((score >= 0) = (car > 0))::INT), 8) AS accuracy, round(sqrt(avg((car - score) ** 2)), 8) AS rmse, count(*) AS rows FROM pred")
@@ -629,12 +644,20 @@ def sign_evaluation(spark, d):
 
 
 
-@query(f"WITH {SCORED}, {CALLS}, ra AS (SELECT call_id, avg(score) AS mean, max(score) AS max, min(score) AS min FROM scored GROUP BY call_id), l AS (UNPIVOT (SELECT r.*, c.car FROM ra r JOIN calls c USING (call_id) WHERE c.car IS NOT NULL) ON mean, max, min INTO NAME pooling VALUE v), m AS (SELECT pooling, round(corr(v, car), 8) AS corr, round(sqrt(avg((v - car) ** 2)), 8) AS rmse FROM l GROUP BY pooling) SELECT * FROM m ORDER BY corr DESC, rmse DESC, pooling LIMIT 1")
+_LISTED = ("mean", "max", "median", "min", "first", "last", "top3_mean", "bottom3_mean", "recency_weighted_mean")
+_RANKED = "rank() OVER (PARTITION BY pooling ORDER BY {0}) + (count(*) OVER (PARTITION BY pooling, {0}) - 1) / 2"
+
+
+@query(f"WITH {_POOL}, {CALLS}, ag AS (SELECT call_id, {_POOLED} FROM ra GROUP BY call_id), l AS (UNPIVOT (SELECT a.* EXCLUDE (num_pairs), c.car, c.label::INT AS y FROM ag a JOIN calls c USING (call_id) WHERE c.car IS NOT NULL AND c.label IS NOT NULL) ON {', '.join(_LISTED)} INTO NAME pooling VALUE v), r AS (SELECT *, {_RANKED.format('v')} AS rv, {_RANKED.format('car')} AS rc FROM l), m AS (SELECT pooling, round(corr(rv, rc), 8) AS spearman, round((sum(rv) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 8) AS auroc FROM r GROUP BY pooling) SELECT * FROM m ORDER BY spearman DESC, auroc DESC, list_position({list(_LISTED)!r}, pooling) LIMIT 1")
 def pooling_leaderboard(spark, d):
-    p = pooling.pool(b.scored(spark, d), ["call_id"]).join(b.calls(spark, d).where("car is not null").select("call_id", "car"), "call_id")
-    long = p.unpivot(["call_id", "car"], ["mean", "max", "min"], "pooling", "v")
-    m = long.groupBy("pooling").agg(F.round(F.corr("v", "car"), 8).alias("corr"), F.round(F.sqrt(F.avg(F.pow(F.col("v") - F.col("car"), 2))), 8).alias("rmse"))
-    return metrics.leaderboard(m, "pooling", "corr", "rmse")
+    """The pooling whose call scores rank the abnormal returns best (Spearman, then AUROC of the label), out of all nine."""
+    c = b.calls(spark, d).where("car is not null and label is not null").select("call_id", "car", F.col("label").cast("int").alias("y"))
+    p = rnd(pooling.pool(b.scored(spark, d), ["call_id"]), 9, "mean", "median", "top3_mean", "bottom3_mean", "recency_weighted_mean").join(c, "call_id")
+    long = p.select("call_id", "car", "y", *[F.col(x).cast("double").alias(x) for x in _LISTED]).unpivot(["call_id", "car", "y"], list(_LISTED), "pooling", "v")
+    r = universe.average_rank(universe.average_rank(long, "v", "rv", ["pooling"]), "car", "rc", ["pooling"])
+    pos, neg = F.sum("y"), F.sum(1 - F.col("y"))
+    m = r.groupBy("pooling").agg(F.round(F.corr("rv", "rc"), 8).alias("spearman"), F.round((F.sum(F.when(F.col("y") == 1, F.col("rv"))) - pos * (pos + 1) / 2) / (pos * neg), 8).alias("auroc"))
+    return metrics.leaderboard(m, "pooling", "spearman", "auroc", _LISTED)
 
 
 # ---- models --------------------------------------------------------------------------------------------
@@ -685,9 +708,32 @@ def feature_analysis(spark, d):
     return rnd(big(latent.feature_report(_vectors(spark, d), "embedding", "y"), "feature"), 6, "mean_activation", "label_corr")
 
 
-@query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS z, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings) SELECT 0.0::DOUBLE AS mse_base, round(sum(CASE WHEN feature IN (0, 3, 7, 11) THEN z * z ELSE 0 END) / count(*), 8) AS mse_ablated, round(sum(CASE WHEN feature IN (0, 3, 7, 11) THEN z * z ELSE 0 END) / count(*), 8) AS delta FROM e")
+#: A small autoencoder with weights by rule, so that SQL can say the same; a trained one takes its place.
+_LATENTS = 16
+_AE = f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+j AS (SELECT range AS j FROM range({_LATENTS})),
+z AS (SELECT vec_id, j, greatest(sum(x * ((i * 7 + j * 13) % 11 - 5) / 50.0) + (j % 3 - 1) / 20.0, 0) AS z FROM x, j GROUP BY vec_id, j)"""
+
+
+def _autoencoder(size: int):
+    i, j = np.arange(size)[:, None], np.arange(_LATENTS)[None, :]
+    return (((i * 7 + j * 13) % 11 - 5) / 50.0, (np.arange(_LATENTS) % 3 - 1) / 20.0), (((i * 5 + j * 3) % 7 - 3).T / 40.0, np.full(size, 0.01))
+
+
+def _width(rows, vec: str) -> int:
+    """The vectors' length, from one row."""
+    first = rows.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    return first[0] if first else 1
+
+
+@query(_AE + ", m AS (SELECT j FROM z GROUP BY j ORDER BY round(avg(z), 12) DESC, j LIMIT 5), y AS (SELECT x.vec_id, x.i, any_value(x) AS x, sum(z * ((i * 5 + j * 3) % 7 - 3) / 40.0) + 0.01 AS a, sum(CASE WHEN j IN (SELECT j FROM m) THEN 0 ELSE z END * ((i * 5 + j * 3) % 7 - 3) / 40.0) + 0.01 AS b FROM x JOIN z USING (vec_id) GROUP BY x.vec_id, x.i) SELECT round(avg((a - x) ** 2), 8) AS mse_base, round(avg((b - x) ** 2), 8) AS mse_ablated, round(avg((b - x) ** 2) - avg((a - x) ** 2), 8) AS delta FROM y")
 def feature_ablation(spark, d):
-    return rnd(latent.ablation(_vectors(spark, d), "embedding", [0, 3, 7, 11]), 8, "mse_ablated", "delta")
+    """Reconstruction error of the autoencoder with and without its five strongest latents."""
+    e = _vectors(spark, d)
+    enc, dec = _autoencoder(_width(e, "embedding"))
+    z = latent.encode(e, "embedding", *enc).select(F.posexplode("latent").alias("j", "z")).groupBy("j").agg(F.round(F.avg("z"), 12).alias("m"))
+    strongest = [r["j"] for r in z.orderBy(F.desc("m"), "j").limit(5).collect()]
+    return rnd(latent.ablation(e, "embedding", enc, dec, strongest), 8, "mse_base", "mse_ablated", "delta")
 
 
 @query(_LAT + ", t AS (SELECT feature FROM rp ORDER BY abs(label_corr) DESC, feature LIMIT 20), s AS (SELECT vec_id, y, avg(z) AS s FROM e WHERE feature IN (SELECT feature FROM t) GROUP BY ALL) SELECT round(corr(s, y), 6) AS label_alignment_corr FROM s")
@@ -702,23 +748,20 @@ def cosine_alignment(spark, d):
     return e.join(o, "vec_id").select("vec_id", F.round(attribution.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@query()
+@query(_AE + ", y AS (SELECT x.vec_id, x.i, any_value(x) AS x, sum(z * ((i * 5 + j * 3) % 7 - 3) / 40.0) + 0.01 AS a FROM x JOIN z USING (vec_id) GROUP BY x.vec_id, x.i), l AS (SELECT vec_id, sum((a - x) ** 2) AS err FROM y GROUP BY vec_id) SELECT vec_id, count(*) FILTER (WHERE z > 0) AS active, round(sum(z), 6) AS mass, round(any_value(err), 6) AS error FROM z JOIN l USING (vec_id) GROUP BY vec_id")
 def sae_forward(spark, d):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    e = latent.encode(read_table(spark, d, "embeddings"), "embedding", rng.normal(size=(64, 32)) * 0.1, np.zeros(32))
-    return e.select("vec_id", F.size(F.filter("latent", lambda x: x > 0)).alias("active"), F.round(F.aggregate("latent", F.lit(0.0), lambda a, x: a + x), 6).alias("mass"))
+    """Latents that fire, their mass (the sparsity term) and the squared reconstruction error of every vector."""
+    e = read_table(spark, d, "embeddings")
+    enc, dec = _autoencoder(_width(e, "embedding"))
+    r = latent.reconstruct(latent.encode(e, "embedding", *enc), "embedding", enc, dec)
+    return r.select("vec_id", F.size(F.filter("latent", lambda x: x > 0)).cast("bigint").alias("active"), F.round(F.aggregate("latent", F.lit(0.0), lambda a, x: a + x), 6).alias("mass"), F.round(latent.reconstruction_error(r, "embedding", "decoded"), 6).alias("error"))
 
 
-def linear_scorer(tokens, mask):
-    """A stand-in for a model: kept letters over all letters."""
-    n = F.transform(tokens, lambda t: F.length(t).cast("double"))
-    kept = F.aggregate(F.zip_with(n, mask, lambda a, m: a * m), F.lit(0.0), lambda a, x: a + x)
-    return kept / F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
+#: A stand-in for a model: kept letters over all letters.
+linear_scorer = attribution.Additive(F.length)
 
 
-_TOK = rf"{PAIRS}, tk AS (SELECT pair_id, [x FOR x IN string_split(lower({norm_sql('answer_text')}), ' ') IF x <> ''] AS t FROM pairs), tl AS (SELECT pair_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i, len(t) AS n FROM tk WHERE len(t) BETWEEN 1 AND 40), ts AS (SELECT *, length(w) % 7 + (i % 3) * 0.25 AS s, length(w)::DOUBLE AS l FROM tl), tr AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s DESC, i DESC) AS rk, sum(l) OVER (PARTITION BY pair_id) AS tot FROM ts)"
+_TOK = rf"{PAIRS}, tk AS (SELECT pair_id, [x FOR x IN string_split(lower({norm_sql('answer_text')}), ' ') IF x <> ''] AS t FROM pairs), tl AS (SELECT pair_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i, len(t) AS n FROM tk WHERE len(t) >= 1), ts AS (SELECT *, length(w) % 7 + (i % 3) * 0.25 AS s, length(w)::DOUBLE AS l FROM tl), tr AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s DESC, i DESC) AS rk, sum(l) OVER (PARTITION BY pair_id) AS tot FROM ts)"
 
 
 @query(f"WITH {_TOK} SELECT pair_id, list(i::INT ORDER BY i) AS rationale FROM tr WHERE rk <= 5 GROUP BY pair_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import canonical_ticker, squeeze
+from tidemark.functions.text import canonical_ticker, padded_cik, squeeze
 
 SEGMENTS = "array<struct<speaker:string,text:string>>"
 RECORD_FIELDS = ("record_key", "source_id", "source_file", "source_row", "ticker", "event_date", "company", "year", "quarter", "transcript", "structured_content")
@@ -108,16 +108,18 @@ def inventory(spark: SparkSession, root: str, known: list[str]) -> DataFrame:
 
 
 def load_events(spark: SparkSession, path: str) -> DataFrame:
-    """Calls from CSV or Parquet: ``record_key`` may stand for ``call_id``; ticker and date are required; one row per call and day."""
+    """(call_id, ticker, event_date, cik) of calls from CSV or Parquet, exact repeats dropped.
+
+    ``record_key`` may stand for ``call_id``, ``universe_cik`` for ``cik``; rows without a ticker or date are left out.
+    """
     df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).csv(path)
     if "call_id" not in df.columns and "record_key" in df.columns:
         df = df.withColumnRenamed("record_key", "call_id")
-    if missing := {"ticker", "event_date"} - set(df.columns):
+    if missing := {"call_id", "ticker", "event_date"} - set(df.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    keys = [c for c in ("call_id", "ticker", "event_date") if c in df.columns]
-    df = df.withColumns({"ticker": canonical_ticker(F.col("ticker")), "event_date": F.col("event_date").try_cast("date")}).where("ticker is not null and event_date is not null")
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest]) if rest else df.distinct()
+    number = next((F.col(c) for c in ("universe_cik", "cik") if c in df.columns), F.lit(None)).cast("string")
+    out = df.select("call_id", canonical_ticker(F.col("ticker")).alias("ticker"), F.col("event_date").try_cast("date").alias("event_date"), padded_cik(number).alias("cik"))
+    return out.where("ticker is not null and event_date is not null").distinct()
 
 
 def rows_at(records: DataFrame, wanted: DataFrame) -> DataFrame:
