@@ -38,6 +38,43 @@ def test_a_reset_clock_goes_on():
     assert t.file_segments([5.0, 60.0, 300.0, 70.0, 310.0, 320.0]) == [0] * 6  # one block delivered late is no reset
 
 
+def test_short_segments_are_resets_where_the_clock_stays_low():
+    assert t.file_segments([30.0, 90.0, 160.0, 240.0, 5.0]) == [0, 0, 0, 0, 1]  # closing remarks of a second recording
+    assert t.file_segments([900.0, 3.0, 40.0, 90.0, 150.0]) == [0, 1, 1, 1, 1]
+    assert t.file_segments([30.0, 90.0, 160.0, 240.0, 100.0]) == [0] * 5  # within the segment's own range: delivered late
+    assert t.file_segments([900.0, 3.0, 40.0, 950.0]) == [0] * 4  # the clock comes back: the first blocks are out of order
+    assert t.file_segments([]) == [] and t.file_segments([None, 4.0, None]) == [0, 0, 0]
+
+
+def test_the_order_comes_from_the_isotonic_fit(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(200):
+        starts = [float(rng.randrange(30)) for _ in range(rng.randrange(1, 25))]
+        rows = [(s, i) for i, s in enumerate(starts)]
+        assert t.in_spoken_order(rows) == sorted(rows)
+    swapped = [(1.0, 0), (9.0, 1), (5.0, 2), (12.0, 3)]
+    assert t.in_spoken_order(swapped) == [(1.0, 0), (5.0, 2), (9.0, 1), (12.0, 3)]
+    monkeypatch.setattr(t, "isotonic", list)  # a fit that ties nothing changes nothing
+    assert t.in_spoken_order(swapped) == swapped
+
+
+def test_planted_resets_and_swaps():
+    """Two recordings in one record, each with its own clock and neighbours swapped on delivery: spoken order comes back."""
+    rng = random.Random(3)
+    for _ in range(60):
+        blocks, k = [], 0
+        for _part in range(2):
+            at, part = 0.0, []
+            for _ in range(rng.randrange(10, 15)):
+                at += rng.randrange(40, 90)
+                part.append((at, None, "A", str(k)))
+                k += 1
+            i = rng.randrange(1, len(part) - 3)
+            part[i], part[i + 1] = part[i + 1], part[i]
+            blocks += part
+        assert [blocks[i][3] for i, _, _ in t.repair_clock(blocks)] == [str(i) for i in range(k)]
+
+
 def test_isotonic_is_the_least_squares_fit():
     rng = random.Random(1)
     for _ in range(50):
@@ -62,6 +99,14 @@ def test_clean_text():
     assert t.clean_text("As you know, we do not talk.") == "As you know, we do not talk." and t.clean_text("Uh, hmm.") in ("", ".") and t.clean_text(None) == ""
 
 
+def test_nothing_is_too_deep_or_too_long_for_cleaning():
+    assert t.clean_text("[" * 50 + "laughter" + "]" * 50 + " We grew {a <b [c] d> e} again (((pause))).") == "We grew again."
+    w = "verylongword" * 20
+    assert t.clean_text(f"{w}, {w}, {w} it is. it is.") == f"{w.capitalize()} it is. it is." and t.clean_text("no, no, no. (not) really]") == "No. (not) really]"
+    label = "Ann Lee (" + "Head of Everything, " * 30 + "Some Bank)"
+    assert said(t.clean_turns(f"Operator: Hello.\n{label}: Hi there.", None)) == [("operator", "Hello."), ("ann lee", "Hi there.")]
+
+
 def test_copies_agree_in_wording():
     a = t.clean_turns("Operator: Welcome um, to the the call.\nAnn Lee: It was I mean, good.", None)
     b = t.clean_turns("OPERATOR: Welcome to the call.  Ann Lee: It was good.", None)

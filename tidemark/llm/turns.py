@@ -1,8 +1,8 @@
 """Speech transcripts into clean, ordered speaker turns.
 
 One record at a time, without any exchange: the layout is split into blocks, the
-clock is repaired (resets, missing and inconsistent stamps, by isotonic
-regression within each file segment), blocks are cleaned of stamps, annotations,
+clock is repaired (resets, missing and inconsistent stamps and blocks out of
+order, by isotonic regression within each file segment), blocks are cleaned of stamps, annotations,
 hesitation sounds and stutters, labels are resolved to one canonical name, and
 neighbouring blocks of one speaker become one turn.
 """
@@ -36,14 +36,13 @@ _STAMP = re.compile(r"^\s*(?:\[\s*(\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)\s*\]|\(
 _RULE = re.compile(r"^\s*[-=_]{10,}\s*$")
 _HEADING = re.compile(r"(?i)^\s*(?:(?:company|corporate|conference call|call)\s+participants|executives|analysts|presentation|questions and answers|question-and-answer session|operator)\s*:?\s*$")
 #: Layouts without line breaks set blocks apart by several blanks behind the end of a sentence or annotation.
-_FLAT_BREAK = re.compile(r"(?<=[^\w\s,])[^\S\n]{2,}(?=(?:[\[(][\d:.,]+[\])]\s*)?[^:\n]{1,90}:\s)")
+_FLAT_BREAK, _FLAT_LABEL = re.compile(r"(?<=[^\w\s,])[^\S\n]{2,}"), re.compile(r"(?:[\[(][\d:.,]+[\])]\s*)?[^:\n]+:\s")
 _INNER_STAMP = re.compile(r"[\[(]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*[\])]")
 _ANNOTATION = re.compile(
-    r"\(\([^()]*\)\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\*[^*\n]{1,40}\*|[♪♫]+|\(\s*(?:" + "|".join(sorted(map(re.escape, ANNOTATION_WORDS), key=len, reverse=True)) + r")(?:\s+[\d:]+)?\s*\)", re.I
+    r"\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*|[♪♫]+|\(\s*(?:" + "|".join(sorted(map(re.escape, ANNOTATION_WORDS), key=len, reverse=True)) + r")(?:\s+[\d:]+)?\s*\)", re.I
 )
 _HESITATION = re.compile(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, HESITATIONS)) + r")(?![\w'’-])(?:\s*(?:\.{2,}|…|,))*", re.I)
 _PHRASE = re.compile(r"(?<![\w'’-])(?<!as )(?<!if )(?:" + "|".join(map(re.escape, FILLER_PHRASES)) + r"),(?=\s|$)", re.I)
-_REPEAT = re.compile(r"(?<!\S)([^\s,;:!?]{1,60}?)[,.;:!?]{0,5}(?:\s+\1(?=[,.;:!?]{0,5}(?:\s|$)))+", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -54,19 +53,53 @@ def _seconds(s: str) -> float:
     return total
 
 
+def without_pairs(text: str, opening: str, closing: str, doubled: bool = False) -> str:
+    """The text with a blank for each outermost pair of signs and what it holds, however deep, in one pass.
+
+    ``doubled`` takes only pairs that directly hold another pair, as in ``((word))``. Signs without a partner stay.
+    """
+    if opening not in text or closing not in text:
+        return text
+    stack, partner = [], {}
+    for m in re.finditer(f"[{re.escape(opening + closing)}]", text):
+        if m[0] == opening:
+            stack.append(m.start())
+        elif stack:
+            partner[stack.pop()] = m.start()
+    out, at = [], 0
+    for i in sorted(partner):
+        if i >= at and (not doubled or partner.get(i + 1) == partner[i] - 1):
+            out += [text[at:i], " "]
+            at = partner[i] + 1
+    return "".join(out) + text[at:]
+
+
+def without_stutter(text: str) -> str:
+    """Words said several times in a row stand once, with the last one's punctuation."""
+    out: list[str] = []
+    last = None
+    for w in text.split():
+        core = w.rstrip(",.;:!?")
+        if core and last is not None and core.lower() == last.lower():
+            out[-1] = last + w[len(core) :]
+            continue
+        out.append(w)
+        last = core if core and not any(c in core for c in ",;:!?") else None
+    return " ".join(out)
+
+
 def clean_text(text: str | None) -> str:
     """The spoken words of a block: without stamps, annotations, hesitation sounds, filler phrases and stutters."""
     t = _INNER_STAMP.sub(" ", text or "")
-    for _ in range(4):  # annotations within annotations
-        before, t = t, _ANNOTATION.sub(" ", t)
-        if before == t:
-            break
+    for signs in ("[]", "{}", "<>"):
+        t = without_pairs(t, *signs)
+    t = _ANNOTATION.sub(" ", without_pairs(t, "(", ")", True))
     t = " ".join(t.split())
     t = _HESITATION.sub(" ", t)
     t = " ".join(t.split())
     t = _PHRASE.sub(" ", t)
     t = " ".join(t.split())
-    t = _REPEAT.sub(r"\1", t)
+    t = without_stutter(t)
     t = re.sub(r"\s+([,.;:!?])", r"\1", t)
     t = re.sub(r"([,;])(?:\s*[,;])+", r"\1", t)
     t = re.sub(r"^[\s,.;:!?…-]+(?=\w)", "", t).strip()
@@ -86,9 +119,7 @@ def _label_of_line(line: str) -> tuple[str, str] | None:
     head, colon, rest = line.partition(":")
     if not colon or (rest[:1] and not rest[:1].isspace() and rest[:1] != ":"):
         return None
-    if len(head) > 90:
-        return None
-    name = re.sub(r"\([^)]*\)|\s[-–—]\s.*$|\[[^\]]*\]", " ", head).strip()
+    name = without_pairs(without_pairs(re.split(r"\s[-–—]\s", head, maxsplit=1)[0], "(", ")"), "[", "]").strip()
     n = len(name.split())
     if n > 5 or re.search(r"[.!?;$%]\s+\S+\s+\S+\s", head) or (n == 0 and head.strip()):
         return None
@@ -97,10 +128,21 @@ def _label_of_line(line: str) -> tuple[str, str] | None:
     return head.strip(), rest.lstrip(": ")
 
 
+def flat_pieces(line: str) -> list[str]:
+    """A line without breaks, parted where several blanks stand before a label."""
+    out: list[list[str]] = []
+    for p in _FLAT_BREAK.split(line):
+        if out and not _FLAT_LABEL.match(p):
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return ["  ".join(p) for p in out]
+
+
 def blocks_of_text(text: str) -> tuple[list[str], list[tuple[float | None, float | None, str, str]]]:
     """(participants, blocks) of a transcript in any layout; a block is (start, end, label, text) as delivered."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    lines = [piece for line in lines for piece in (_FLAT_BREAK.split(line) if "  " in line else [line])]
+    lines = [piece for line in lines for piece in (flat_pieces(line) if "  " in line else [line])]
     people: list[str] = []
     blocks: list[list] = []
     if sum(1 for x in lines if _RULE.match(x)) >= 2:
@@ -181,28 +223,57 @@ def file_segments(starts: list[float | None]) -> list[int]:
     """The number of the file segment of each block: a reset of the clock begins the next one.
 
     A block delivered late falls back too, but its neighbours go on at the old
-    height; in a reset several blocks in a row stay low.
+    height; in a reset several blocks in a row stay low. Where fewer blocks stand
+    before or behind, it is a reset if the clock stays below all of the segment to the end.
     """
     known = [(i, s) for i, s in enumerate(starts) if s is not None]
-    cuts, base = [], 0
-    for k in range(1, len(known) - RESET_BLOCKS + 1):
-        seen = [s for _, s in known[base:k]]
-        top = max(seen)
-        following = [s for _, s in known[k : k + RESET_BLOCKS]]
-        if k - base >= RESET_BLOCKS and following[0] <= min(top - RESET_DROP_S, min(seen) + RESET_DROP_S) and max(following) < top - RESET_DROP_S / 2:
-            cuts.append(known[k][0])
-            base = k
-    return [sum(c <= i for c in cuts) for i in range(len(starts))]
+    n = len(known)
+    ahead = [float("-inf")] * (n + 1)  # the greatest stamp from each block on
+    for k in range(n - 1, -1, -1):
+        ahead[k] = max(known[k][1], ahead[k + 1])
+    cuts: set[int] = set()
+    base, top, low = 0, float("-inf"), float("inf")
+    for k, (i, s) in enumerate(known):
+        if k > base and s <= min(top - RESET_DROP_S, low + RESET_DROP_S):
+            few = k - base < RESET_BLOCKS or n - k < RESET_BLOCKS
+            if (ahead[k] < low) if few else max(x for _, x in known[k : k + RESET_BLOCKS]) < top - RESET_DROP_S / 2:
+                cuts.add(i)
+                base, top, low = k, float("-inf"), float("inf")
+        top, low = max(top, s), min(low, s)
+    out, part = [], 0
+    for i in range(len(starts)):
+        part += i in cuts
+        out.append(part)
+    return out
+
+
+def in_spoken_order(rows: list[tuple[float, int]]) -> list[tuple[float, int]]:
+    """(stamp, position) in the order the isotonic fit of the stamps gives; blocks it ties stand in the order of their stamps."""
+    while True:
+        fit = isotonic([at for at, _ in rows])
+        out: list[tuple[float, int]] = []
+        i = 0
+        while i < len(rows):
+            j = i + 1
+            while j < len(rows) and fit[j] == fit[i]:
+                j += 1
+            out += sorted(rows[i:j]) if j - i > 1 else rows[i:j]
+            i = j
+        if out == rows:
+            return rows
+        rows = out
 
 
 def repair_clock(blocks: list[tuple]) -> list[tuple[int, float | None, float | None]]:
     """(position as delivered, start, end) in spoken order, start and end on one rising clock.
 
-    Unstamped records keep their order. Within a file segment blocks stand in the
-    order of their stamps (ties as delivered; a block without a stamp stays behind
-    its predecessor); the series of starts and ends is then fitted by isotonic
-    regression, so that overlaps and jitter leave no interval turned back. Later
-    segments are shifted behind the earlier ones.
+    Unstamped records keep their order. Within a file segment the starts as delivered
+    are fitted by isotonic regression: where the clock runs back, the fit ties the blocks
+    concerned, and only those are put in the order of their stamps (ties as delivered; a
+    block without a stamp stays behind its predecessor). This is repeated until the fit
+    ties no blocks that are out of order. The series of starts and ends is then fitted
+    too, so that overlaps and jitter leave no interval turned back. Later segments are
+    shifted behind the earlier ones.
     """
     starts = [b[0] for b in blocks]
     if all(s is None for s in starts):
@@ -214,7 +285,7 @@ def repair_clock(blocks: list[tuple]) -> list[tuple[int, float | None, float | N
         for i in (i for i, p in enumerate(parts) if p == part):
             last = starts[i] if starts[i] is not None else last
             rows.append((last if last is not None else 0.0, i))
-        rows.sort()
+        rows = in_spoken_order(rows)
         series = []
         for at, i in rows:
             end = blocks[i][1]
@@ -243,11 +314,9 @@ def _near(a: str, b: str) -> bool:
 
 def read_label(label: str) -> tuple[str, str]:
     """(kind, name): operator, none, full ``first last``, initial ``f last`` or last ``last``; lower case."""
-    if len(label) > 300:
-        return "none", ""
-    s = re.sub(r"\[[^\]]*\]", " ", label).strip()
-    s = re.sub(r"[\s:]+$", "", s)
-    s = re.sub(r"\([^)]*\)?", " ", s)
+    s = without_pairs(label, "[", "]").strip()
+    s = s.rstrip(": \t\r\n")
+    s = without_pairs(s, "(", ")").partition("(")[0]
     s = re.split(r"\s+[-–—]+\s+|\s+[-–—]+$|\s*[–—]\s*", s.strip())[0]
     s = " ".join(s.split()).strip(" .:;-").lower()
     if s in OPERATOR_LABELS:
