@@ -127,5 +127,5 @@ def test_disguises(text):
 
 
 def test_long_inputs_take_linear_time():
-    for x in ("you moron " * 20_000, "a b c " * 40_000, "those people " * 30_000, "i hope they die " * 15_000, "a" * 300_000):
+    for x in ("you moron " * 20_000, "a b c " * 40_000, "those people " * 30_000, "i hope they die " * 15_000, "you fool " * 30_000, "they are rats " * 15_000, "you are stupid " * 15_000, "a" * 300_000):
         abuse.score(x, LEX)

@@ -316,15 +316,15 @@ class Lexicon:
                 hits.append((start, end, w, kinds))
         if not hits:
             return 0.0, {}
-        hits.sort(key=lambda h: (h[0], -h[1]))
-        safe.sort(key=lambda h: (h[0], -h[1]))
+        safe.sort()
         cover, at, at_safe = -1, 0, []
-        for h in hits:
-            while at < len(safe) and safe[at][0] <= h[0]:
+        for h in hits:  # in the order of their ends; an exception takes back what ends within it
+            while at < len(safe) and safe[at][0] <= h[1] - 2:
                 cover = max(cover, safe[at][1])
                 at += 1
             if h[1] > cover:
                 at_safe.append(h)
+        at_safe.sort(key=lambda h: (h[0], -h[1]))
         spots: dict[str, list[tuple[int, int]]] = {}
         weight: dict[tuple[int, int], float] = {}
         for start, end, w, kinds in at_safe:
@@ -352,7 +352,12 @@ class Lexicon:
 
         def after(spot: tuple[int, int], kind: str, reach: int) -> bool:
             """An entry of the kind ends right before the spot."""
-            return any(0 <= spot[0] - z + 1 <= reach + 1 for a, z in spots.get(kind, ()) if a < spot[0])
+            return bool(before(spot, kind, reach + 1))
+
+        def before(spot: tuple[int, int], kind: str, reach: int) -> list[tuple[int, int]]:
+            got = spots.get(kind, [])
+            i = bisect.bisect_left(got, (spot[0] - reach - 40, 0))
+            return [(a, z) for a, z in got[i : bisect.bisect_left(got, (spot[0], 0))] if 0 <= spot[0] - z + 1 <= reach]
 
         out: dict[str, float] = {}
 
@@ -368,7 +373,7 @@ class Lexicon:
         for x in spots.get("hate", ()):
             give("hate", 1.0 if after(x, "subject", 16) and near(x, "group", "target", reach=3 * NEAR) or near(x, "exclude") else 0.34)
         for x in spots.get("personal", ()):
-            if after(x, "subject", 3) and any(0 <= x[0] - z + 1 <= 4 and line[a:z].strip() in _SAID_OF for a, z in spots.get("subject", ())):
+            if after(x, "subject", 3) and any(line[a:z].strip() in _SAID_OF for a, z in before(x, "subject", 4)):
                 give("insult", 0.66)
         for x in spots.get("harm", ()):
             if (near(x, "wish") or line[x[0] : x[1]].split()[0] in _WISHING) and near(x, "target", "insult"):
