@@ -73,14 +73,17 @@ def test_every_token_is_packed_once(spark):
     rng = random.Random(2)
     sizes = spark.createDataFrame([(i, v, v // 2, 0, 0) for i, v in enumerate([0, 1, 512, 513, 5000] + [rng.randrange(1, 900) for _ in range(400)])], SIZES)
     specs = spark.createDataFrame([("s", 512), ("l", 2048), ("l", 2048), (None, 5), ("zero", 0)], SPECS)
-    got = p.pack(sizes, specs, pool_items=100).cache()
+    got = p.pack(sizes, specs, pool_containers=20).cache()
     per = {(r["container_kind"], r["doc_id"]): (r["t"], r["k"], r["lo"], r["hi"]) for r in got.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"), F.min("first_token").alias("lo"), F.max(F.col("first_token") + F.col("tokens")).alias("hi")).collect()}
     for r in sizes.where("tokens > 0").collect():
         for kind, cap in (("s", 512), ("l", 2048)):
             t, k, lo, hi = per[kind, r["doc_id"]]
             assert (t, lo, hi) == (r["tokens"], 0, r["tokens"]) and k == -(-r["tokens"] // cap)
     box = got.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    assert box.where("(container_kind = 's' and (t > 512 or n > 64)) or (container_kind = 'l' and (t > 2048 or n > 256))").count() == 0
+    assert box.where("(container_kind = 's' and (t > 512 or n > 16)) or (container_kind = 'l' and (t > 2048 or n > 64))").count() == 0
+    assert got.groupBy("container_kind", "container_id").agg(F.sum("loss_tokens").alias("l")).where("(container_kind = 's' and l > 506) or (container_kind = 'l' and l > 2027)").count() == 0
+    big = p.pieces(spark.createDataFrame([(1, 5001, 3333, 0, 0)], SIZES), specs).groupBy("container_kind").agg(F.sum("loss_tokens").alias("l")).collect()
+    assert [r["l"] for r in big] == [3333, 3333]
     fill = {r["container_kind"]: r["fill"] for r in p.fill_report(got, specs).collect()}
     assert set(fill) == {"s", "l"} and min(fill.values()) > 0.9
     assert p.pack(sizes.limit(0), specs).count() == 0 and p.pack(sizes, specs.limit(0)).count() == 0
@@ -108,23 +111,37 @@ def _documents(spark):
 def test_shares_and_caps(spark):
     docs = spark.createDataFrame(_documents(spark), DOCS)
     goal = spark.createDataFrame([("news", 0.5, 1), ("code", 0.3, 2), ("mail", 0.2, 3)], "source string, target_share double, max_repeats int")
-    mixed = m.mix(docs, goal).cache()
+    mixed, report = m.mix(docs, goal)
+    mixed = mixed.cache()
     assert mixed.count() == docs.where("doc_id is not null").select("doc_id").distinct().count()
-    rep = {r["source"]: r for r in m.share_report(mixed, goal).collect()}
+    rep = {r["source"]: r for r in m.share_report(mixed, goal, report).collect()}
+    assert report["residual"] < 0.01 and report["steps"] <= m.MOST_STEPS and all(r["residual"] is not None for r in rep.values())
     for s, t, k in (("news", 0.5, 1), ("code", 0.3, 2), ("mail", 0.2, 3)):
         assert abs(rep[s]["share"] - t) < 0.01 and rep[s]["most_copies"] <= k
     assert mixed.where("source = 'other'").first()["copies"] == 0
-    assert m.mix(docs.limit(0), goal).count() == 0
+    assert m.mix(docs.limit(0), goal)[0].count() == 0
     with pytest.raises(ValueError):
         m.mix(docs, goal.limit(0))
 
 
-def test_the_classifier_on_held_out_rows(spark):
-    docs = spark.createDataFrame(_documents(spark), DOCS).where("text <> '' and source in ('news', 'code', 'mail') and doc_id is not null")
+def test_the_classifier_judges_only_rows_it_has_not_seen(spark):
+    docs = spark.createDataFrame(_documents(spark), DOCS).where("text <> '' and source in ('news', 'code', 'mail') and doc_id is not null").distinct()
     dom = ["code", "mail", "news"]
-    model = m.fit_classifier(docs.where("doc_id % 5 <> 0"), "source", dom)
-    out = m.posteriors(docs.where("doc_id % 5 = 0"), model, dom).collect()
-    assert np.mean([dom[int(np.argmax(r["text_posterior"]))] == r["source"] for r in out]) > 0.95 and all(abs(sum(r["text_posterior"]) - 1) < 1e-9 for r in out)
+    rows = m.read_once(docs).cache()
+    out = m.scores(rows, m.fit_classifier(rows, dom)).collect()
+    assert np.mean([dom[int(np.argmax(r["score"]))] == r["source"] for r in out]) > 0.95 and len(out) == docs.count()
+    one = m.fit_classifier(rows.where("half = 0"), dom)
+    assert np.ptp(one[1]) == 0  # nothing of the first half enters the second half's model
+    heat, noise = m.fit_trust(m.scores(rows, m.fit_classifier(rows, dom)), dom)
+    assert heat in m.HEATS and noise == min(m.NOISES)
+
+
+def test_copies_keep_a_groups_tokens(spark):
+    rng = random.Random(4)
+    rows = [(i, "s", t, r, 1) for i, (t, r) in enumerate((rng.choice([5, 50, 500, 20_000]) + rng.randrange(5), rng.random() * 2) for _ in range(500))]
+    got = m.whole_copies(spark.createDataFrame(rows, "doc_id long, source string, tokens long, rate double, extra int")).collect()
+    assert len(got) == 500 and all(int(r["rate"]) <= r["copies"] <= int(r["rate"]) + 1 for r in got)
+    assert abs(sum(r["tokens"] * (r["copies"] - r["rate"]) for r in got)) < 10
 
 
 def test_rates_follow_the_projected_steps(spark):

@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers with items: vector bin packing.
 
 Every container is limited in tokens, in segments and in loss-bearing tokens at
-once. Items are dealt by hash into pools of about POOL_ITEMS items; each pool is
+once. Items are dealt by hash into pools of about POOL_CONTAINERS containers; each pool is
 packed by the dot-product heuristic (an open container takes the fitting item
 whose demands point most along what is left of it). A pool leaves one
 container partly filled, so unused space does not grow with the number of pools'
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import FOLDER, TOKENIZER, document_sizes
 from tidemark.session import materialise, read_table
 
-POOL_ITEMS = 4000
+#: Pools are about as large as POOL_CONTAINERS containers, so that the one partly filled at the end costs the same share at every capacity.
+POOL_CONTAINERS, LEAST_POOL, MOST_POOL = 200, 500, 10_000
 #: A container of c tokens holds at most c / TOKENS_PER_SEGMENT segments, and LOSS_SHARE of its tokens may bear loss.
-TOKENS_PER_SEGMENT, LOSS_SHARE = 8, 1.0
+TOKENS_PER_SEGMENT, LOSS_SHARE = 32, 0.99
 
 
 def dot_product_packing(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -43,16 +44,15 @@ def dot_product_packing(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
         bin_no += 1
         room = np.ones(share.shape[1])
         used = np.zeros(len(ids), bool)
-        fits = np.ones(len(ids), bool)
-        while True:
-            fits &= ((todo <= room + 1e-12).all(axis=1)) & ~used
-            k = np.flatnonzero(fits)
-            if not len(k):
-                break
-            best = k[int(np.argmax(todo[k] @ room))]
-            used[best] = True
-            out[ids[best]] = bin_no
-            room = room - todo[best]
+        k, left = np.arange(len(ids)), todo  # what may still fit: room only shrinks, so nothing comes back
+        while len(k):
+            j = int(np.argmax(left @ room))
+            used[k[j]] = True
+            out[ids[k[j]]] = bin_no
+            room = room - left[j]
+            stay = (left <= room + 1e-12).all(axis=1)
+            stay[j] = False
+            k, left = k[stay], left[stay]
         todo, ids = todo[~used], ids[~used]
     return out
 
@@ -61,8 +61,8 @@ def pieces(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """One row per container kind and item: (container_kind, capacity, doc_id, piece, first_token, tokens, loss_tokens, whole).
 
     A text within the capacity is one piece; a larger one is divided into full
-    pieces and a rest. Loss is spread over the pieces in proportion, rounded down
-    where it must be. Kinds with a null or non-positive capacity take no items; texts without tokens have no pieces.
+    pieces and a rest. Loss is spread over the pieces in proportion and adds up to
+    the text's. Kinds with a null or non-positive capacity take no items; texts without tokens have no pieces.
     """
     s = specs.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
     both = sizes.where("tokens > 0").crossJoin(F.broadcast(s))
@@ -70,20 +70,22 @@ def pieces(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     cut = both.select("container_kind", "capacity", "doc_id", F.col("tokens").alias("all"), F.col("loss_tokens").alias("loss"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("piece"))
     first = F.col("piece") * F.col("capacity")
     size = F.least("capacity", F.col("all") - first)
-    return cut.select("container_kind", "capacity", "doc_id", F.col("piece").cast("int").alias("piece"), first.alias("first_token"), size.alias("tokens"), F.floor(F.col("loss") * size / F.col("all")).alias("loss_tokens"), (size == F.col("capacity")).alias("full"))
+    return cut.select("container_kind", "capacity", "doc_id", F.col("piece").cast("int").alias("piece"), first.alias("first_token"), size.alias("tokens"), (F.floor(F.col("loss") * (first + size) / F.col("all")) - F.floor(F.col("loss") * first / F.col("all"))).alias("loss_tokens"), (size == F.col("capacity")).alias("full"))
 
 
-def pack(sizes: DataFrame, specs: DataFrame, tokens_per_segment: int = TOKENS_PER_SEGMENT, loss_share: float = LOSS_SHARE, pool_items: int = POOL_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, specs: DataFrame, tokens_per_segment: int = TOKENS_PER_SEGMENT, loss_share: float = LOSS_SHARE, pool_containers: int = POOL_CONTAINERS) -> DataFrame:
     """(container_kind, container_id, segment, doc_id, piece, first_token, tokens, loss_tokens): every piece of every text, once per kind.
 
     Container ids are unique within a kind. A piece that alone bears more loss than
     allowed has the surplus masked, so that it fits.
     """
     items = pieces(sizes, specs)
-    n = sizes.count()
-    pools = max(1, -(-n // pool_items))
+    total, n = sizes.where("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
+    mean = (total or 0) / max(n, 1)  # tokens of an item; a kind's pool has as many items as fill its containers
+    size = F.greatest(F.lit(LEAST_POOL), F.least(F.lit(MOST_POOL), F.ceil(F.col("capacity") * pool_containers / max(mean, 1.0))))
+    pools = F.greatest(F.lit(1), F.ceil(F.lit(n) / size)).cast("int")
     full = items.where("full").select("container_kind", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container_id"), F.lit(0).alias("segment"), "doc_id", "piece", "first_token", "tokens", F.least("loss_tokens", F.floor(F.col("capacity") * loss_share)).alias("loss_tokens"))
-    rest = items.where("not full").withColumn("pool", F.pmod(F.xxhash64("doc_id", "container_kind"), F.lit(pools)).cast("int"))
+    rest = items.where("not full").withColumn("pool", F.pmod(F.xxhash64("doc_id", "container_kind"), pools).cast("int"))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         capacity = int(pdf.capacity.iloc[0])
@@ -98,11 +100,19 @@ def pack(sizes: DataFrame, specs: DataFrame, tokens_per_segment: int = TOKENS_PE
     return full.unionByName(rest.groupBy("container_kind", "pool").applyInPandas(fill, schema))
 
 
-def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
-    """(container_kind, containers, segments, tokens, fill): fill is the used share of all containers' tokens."""
+def fill_report(packed: DataFrame, specs: DataFrame, tokens_per_segment: int = TOKENS_PER_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
+    """(container_kind, containers, segments, tokens, fill, loss_fill, at_segment_limit, at_loss_limit).
+
+    Fill is the used share of all containers' tokens, loss_fill that of the loss they may bear; the
+    last two count the containers with no segment left, and those with less loss than tokens left.
+    """
     s = specs.where("container_kind is not null").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))
-    c = packed.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    return c.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("n").alias("segments"), F.sum("t").alias("tokens")).join(F.broadcast(s), "container_kind").select("container_kind", "containers", "segments", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4).alias("fill"))
+    c = packed.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t"), F.sum("loss_tokens").alias("l"), F.count("*").alias("n")).join(F.broadcast(s), "container_kind")
+    may, spare = F.floor(F.col("capacity") * loss_share), F.col("capacity") - F.col("t")
+    return c.groupBy("container_kind").agg(
+        F.count("*").alias("containers"), F.sum("n").alias("segments"), F.sum("t").alias("tokens"), F.round(F.sum("t") / F.sum("capacity"), 4).alias("fill"), F.round(F.sum("l") / F.sum(may), 4).alias("loss_fill"),
+        F.count_if(F.col("n") >= F.floor(F.col("capacity") / tokens_per_segment)).alias("at_segment_limit"), F.count_if(may - F.col("l") < spare).alias("at_loss_limit"),
+    )
 
 
 def _packed(spark, sf_dir, tokenizer: str = TOKENIZER, folder: str = FOLDER):
