@@ -44,15 +44,22 @@ def dot_product_packing(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
         bin_no += 1
         room = np.ones(share.shape[1])
         used = np.zeros(len(ids), bool)
-        k, left = np.arange(len(ids)), todo  # what may still fit: room only shrinks, so nothing comes back
-        while len(k):
-            j = int(np.argmax(left @ room))
+        k, left, fits = np.arange(len(ids)), [c.copy() for c in todo.T], np.ones(len(ids), bool)
+        while True:  # what does not fit is left out: room only shrinks, so nothing comes back
+            point = sum((c * r for c, r in zip(left, room)), np.zeros(len(k)))
+            point[~fits] = -1.0
+            j = int(np.argmax(point))
             used[k[j]] = True
             out[ids[k[j]]] = bin_no
-            room = room - left[j]
-            stay = (left <= room + 1e-12).all(axis=1)
-            stay[j] = False
-            k, left = k[stay], left[stay]
+            room = room - np.array([c[j] for c in left])
+            for c, r in zip(left, room):
+                fits &= c <= r + 1e-12
+            fits[j] = False
+            n = int(np.count_nonzero(fits))
+            if not n:
+                break
+            if 2 * n < len(k):
+                k, left, fits = k[fits], [c[fits] for c in left], np.ones(n, bool)
         todo, ids = todo[~used], ids[~used]
     return out
 
