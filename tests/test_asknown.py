@@ -79,3 +79,20 @@ def test_log_entries_are_one_a_day(spark):
     c = spark.createDataFrame([("a", D0, i) for i in range(1000)], "k string, known date, v int")
     r = asknown.snapshots_and_logs(c, "k", "known", ["v"]).select(F.size("log").alias("n"), "top.v").first()
     assert (r["n"], r["v"]) == (1, 999)
+
+
+def test_a_second_run_extends_the_stored_logs(spark, tmp_path):
+    rng = random.Random(4)
+    some = lambda: date(2019, 1, 1) + timedelta(days=rng.randrange(1500))
+    schema = "e string, at date, v int"
+    rows = [(rng.choice("ab"), some(), rng.randrange(50)) for _ in range(300)] + [(None, some(), 1), ("a", None, 1)]
+    asked = spark.createDataFrame([(rng.choice("abc"), some()) for _ in range(150)], "who string, day date")
+    path = f"file://{tmp_path}/log"
+    store = asknown.ChangeStore(spark, path)
+    for part in (rows[:100], [], rows[100:180], rows[180:]):  # each part holds changes of all years
+        asknown.ChangeStore(spark, path).extend(spark.createDataFrame(part, schema), "e", "at", ["v"])
+    kw = dict(event_entity="who", event_at="day", entity="e", known_at="at", version=["v"], into="x")
+    want = asknown.as_known(asked, spark.createDataFrame(rows, schema), **kw)
+    got = asknown.as_known(asked, spark.createDataFrame([], schema), **kw, store=path)
+    key = lambda d: sorted((r["who"], r["day"], r["x"]["v"] if r["x"] else -1) for r in d.collect())
+    assert key(got) == key(want) and store.table().where("entity is null").count() == 0

@@ -1,6 +1,8 @@
 """Rolling totals from segment trees: against brute force, corrections, and the odd inputs."""
 
+import glob
 import math
+import os
 import random
 from datetime import date, datetime, timedelta
 
@@ -109,3 +111,37 @@ def test_empty_tables_and_dates_outside_the_calendar(spark):
     assert _run(spark, [], market).count() == 0
     assert _run(spark, [("AA", days[0] - timedelta(days=400), 0.1, None)], market).count() == 0
     assert _run(spark, [("AA", days[0], 0.1, None)], market.limit(0)).count() == 0
+
+
+def test_windows_over_several_shards_equal_brute_force(spark):
+    rng = random.Random(9)
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(400)]
+    cal = t.trading_calendar(spark.createDataFrame([(d, rng.gauss(0, 0.01)) for d in days], "trade_date date, market_return double"))
+    rows = [("A", d, rng.gauss(0, 0.02), None) for d in days if rng.random() < 0.7] + [("B", d, rng.gauss(0, 0.02), None) for d in days[50:70]]
+    r = spark.createDataFrame(rows, "ticker string, trade_date date, stock_return double, loaded_at timestamp")
+    got = {(x["ticker"], x["trade_date"], x["days_back"]): (x["usable"], x["total"]) for x in t.trailing(t.build_trees(t.daily_leaves(r, cal)), t.spans(r, cal), cal, (65, 128, 129, 250)).collect()}
+    have = {(a, d): x for a, d, x, _ in rows}
+    for (a, d, n), (u, total) in got.items():
+        window = [have[a, e] for e in (d - timedelta(days=i) for i in range(n)) if (a, e) in have]
+        assert u == len(window) and abs(total - sum(window)) < 1e-9
+
+
+def test_a_second_run_goes_on_with_the_stored_trees(spark, tmp_path):
+    rng = random.Random(10)
+    at = lambda n: datetime(2022, 1, 1) + timedelta(days=n)
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(600)]
+    cal = t.trading_calendar(spark.createDataFrame([(d, 0.01) for d in days], "trade_date date, market_return double"))
+    schema = "ticker string, trade_date date, stock_return double, loaded_at timestamp"
+    first = [("A", d, 0.01, at(1)) for d in days[:300]] + [("B", d, 0.02, at(1)) for d in days[100:200]]
+    late = [("A", days[10], 0.5, at(2)), ("A", days[11], 0.9, at(0)), ("A", days[301], 0.3, None), ("B", days[599], -0.1, at(2)), ("C", days[0], 0.7, at(2)), ("A", days[12], -5.0, at(2))]
+    path = f"file://{tmp_path}/trees"
+    t.TreeStore(spark, path).extend(t.daily_leaves(spark.createDataFrame(first, schema), cal))
+    stamp = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{tmp_path}/trees/trees/part=1/*.parquet")}
+    changed = t.TreeStore(spark, path).extend(t.daily_leaves(spark.createDataFrame(late, schema), cal))
+    assert sorted((r["ticker"], r["day_no"]) for r in changed.collect()) == [("A", 10), ("A", 301), ("B", 599), ("C", 0)]  # an older load and an unusable return change nothing
+    every = spark.createDataFrame([r for r in first if r[:2] != ("A", days[10])] + late, schema)
+    look = lambda trees: sorted((r["ticker"], r["shard"], tuple(round(x, 9) for x in r["tree"])) for r in trees.collect())
+    assert look(t.TreeStore(spark, path).trees().select("ticker", "shard", "tree")) == look(t.build_trees(t.daily_leaves(every, cal)))
+    t.TreeStore(spark, path).extend(t.daily_leaves(spark.createDataFrame([("B", days[599], -0.2, at(3))], schema), cal))
+    assert stamp and all(os.stat(p).st_mtime_ns == s for p, s in stamp.items() if os.path.exists(p))
+    t.TreeStore(spark, path).extend(t.daily_leaves(spark.createDataFrame([], schema), cal))

@@ -2,9 +2,11 @@
 
 Days are numbered by a trading calendar. Per entity and shard of ``SHARD`` days
 one row holds a complete segment tree (2 * SHARD nodes) for each statistic. A
-trailing window of at most SHARD days touches its own shard and the one before
-it, and is answered from O(log SHARD) nodes. A late correction replaces a leaf
-and recomputes only that leaf's ancestors (``correct_trees``).
+trailing window touches its own shard and those before it that it reaches into, and is
+answered from O(log SHARD) nodes of each. A late correction replaces a leaf and
+recomputes only that leaf's ancestors (``correct_trees``). Trees and leaves are stored
+by shard (``TreeStore``); a later run opens the store and changes only the parts that
+new or corrected days fall in.
 
 Rows are pre-aggregated to one leaf per (entity, day) before any exchange, so an
 entity with a third of all rows costs no more than its days; trees are spread by
@@ -17,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import canonical_ticker
-from tidemark.session import read_table
+from tidemark.session import exists, materialise, read_table, rewrite_parts, scratch_path
 
 SHARD = 64
+#: Shards of one part of a store.
+PART = 4
 #: count and sums of usable returns; of them with a market return: count, sums of both, of squares and products
 STATS = ("n", "x", "xx", "k", "xk", "m", "mm", "xm")
 WINDOWS = (20, 60)
@@ -90,14 +94,14 @@ def usable(c):
 
 
 def daily_leaves(returns: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(ticker, day_no, x, m): the usable return of a ticker's trading day.
+    """(ticker, day_no, x, m, loaded_at): the usable return of a ticker's trading day.
 
     Of conflicting usable rows the latest ``loaded_at`` counts (ties: the greater
     return); rows on days without trading are no days of the calendar.
     """
     rows = returns.select(canonical_ticker(F.col("ticker")).alias("ticker"), "trade_date", F.col("stock_return").alias("x"), "loaded_at").where(F.col("ticker").isNotNull() & usable(F.col("x")))
     best = rows.groupBy("ticker", "trade_date").agg(F.max(F.struct(F.col("loaded_at"), F.col("x"))).alias("b"))
-    return best.join(F.broadcast(calendar), "trade_date").select("ticker", "day_no", F.col("b.x").alias("x"), F.col("market_return").alias("m"))
+    return best.join(F.broadcast(calendar), "trade_date").select("ticker", "day_no", F.col("b.x").alias("x"), F.col("market_return").alias("m"), F.col("b.loaded_at").alias("loaded_at"))
 
 
 def build_trees(leaves: DataFrame) -> DataFrame:
@@ -165,12 +169,12 @@ def trailing(trees: DataFrame, span: DataFrame, calendar: DataFrame, windows: tu
     volatility (population) and beta (null under five days or without market
     variance). Total is 0 and average null where no day is usable.
     """
-    if max(windows) > SHARD:
-        raise ValueError(f"a window has at most {SHARD} days")
+    back = -(-(max(windows) - 1) // SHARD)  # shards a window may reach into besides its own
     dense = span.withColumn("shard", F.explode(F.sequence(F.floor(F.col("first_no") / SHARD).cast("int"), F.floor(F.col("last_no") / SHARD).cast("int"))))
     dense = dense.select(F.col("ticker"), F.col("shard"), F.col("first_no").cast("int"), F.col("last_no").cast("int"))
     with_tree = dense.join(trees, ["ticker", "shard"], "left")
-    with_tree = with_tree.withColumn("prior", F.lag("tree").over(Window.partitionBy("ticker").orderBy("shard")))
+    upto = Window.partitionBy("ticker").orderBy("shard")
+    with_tree = with_tree.withColumns({f"prior{j}": F.lag("tree", j).over(upto) for j in range(1, back + 1)})
     lengths = np.array(windows)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,9 +182,11 @@ def trailing(trees: DataFrame, span: DataFrame, calendar: DataFrame, windows: tu
         span_ = np.repeat(lengths, SHARD)
         lo, zero = pos - span_ + 1, np.zeros(2 * SHARD * len(STATS))
         for b in batches:
-            cur = np.stack([zero if t is None else np.asarray(t) for t in b.tree]).reshape(len(b), 2 * SHARD, len(STATS))
-            old = np.stack([zero if t is None else np.asarray(t) for t in b.prior]).reshape(len(b), 2 * SHARD, len(STATS))
-            got = _range(cur, np.maximum(lo, 0), pos) + _range(old, np.where(lo < 0, lo + SHARD, SHARD), np.full_like(pos, SHARD - 1))
+            got = 0.0
+            for j in range(back + 1):
+                nodes = np.stack([zero if t is None else np.asarray(t) for t in (b[f"prior{j}"] if j else b.tree)]).reshape(len(b), 2 * SHARD, len(STATS))
+                first_leaf, last_leaf = np.maximum(lo + j * SHARD, 0), np.minimum(pos + j * SHARD, SHARD - 1)
+                got = got + _range(nodes, np.minimum(first_leaf, last_leaf + 1), last_leaf)
             day = b["shard"].to_numpy()[:, None] * SHARD + pos[None, :]
             first, last = b.first_no.to_numpy()[:, None], b.last_no.to_numpy()[:, None]
             keep = (day >= first) & (day <= last)
@@ -199,7 +205,7 @@ def trailing(trees: DataFrame, span: DataFrame, calendar: DataFrame, windows: tu
             })
 
     schema = "ticker string, day_no int, days_back int, days int, usable int, total double, average double, market_total double, volatility double, beta double"
-    out = with_tree.select("ticker", "shard", "first_no", "last_no", "tree", "prior").mapInPandas(answer, schema)
+    out = with_tree.select("ticker", "shard", "first_no", "last_no", "tree", *[f"prior{j}" for j in range(1, back + 1)]).mapInPandas(answer, schema)
     out = out.join(F.broadcast(calendar.select("trade_date", "day_no")), "day_no")
     return out.select("ticker", "trade_date", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes if c not in ("ticker", "trade_date", "day_no")])
 
@@ -209,9 +215,60 @@ def thin_windows(rows: DataFrame, days_back: int = 20, least: int = MIN_USABLE)
     return rows.where((F.col("days_back") == days_back) & (F.col("days") == days_back) & (F.col("usable") < least)).select("ticker", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date"))
 
 
+class TreeStore:
+    """Segment trees and their leaves, stored by parts of PART shards under ``path``; a second run opens them and goes on."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        if not exists(self.spark, f"{self.path}/{what}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
+
+    def leaves(self) -> DataFrame:
+        return self._read("leaves", "ticker string, day_no int, x double, m double, loaded_at timestamp, shard int, part int")
+
+    def trees(self) -> DataFrame:
+        return self._read("trees", f"ticker string, shard int, tree {_TREE}, part int")
+
+    def extend(self, new: DataFrame) -> DataFrame:
+        """Takes in leaves (ticker, day_no, x, m, loaded_at) that came since and returns the ones that changed something.
+
+        A new leaf counts where its day has none, or one loaded earlier (at the same time: a smaller return). Parts (PART shards)
+        without a new leaf are neither read nor written; in the others only changed leaves and their ancestors are computed.
+        """
+        shard = F.floor(F.col("day_no") / SHARD).cast("int")
+        new = new.select("ticker", F.col("day_no").cast("int").alias("day_no"), "x", "m", "loaded_at", shard.alias("shard"))
+        part = F.floor(F.col("shard") / PART).cast("int")
+        touched = [r[0] for r in new.select(part).distinct().collect()]  # at most a calendar's days over SHARD * PART
+        old = self.leaves().where(F.col("part").isin(touched))
+        held = old.select("ticker", "shard", "day_no", F.struct("loaded_at", "x").alias("__old"))
+        changed = new.join(held, ["ticker", "shard", "day_no"], "left").where(F.col("__old").isNull() | (F.struct("loaded_at", "x") > F.col("__old"))).select(new.columns)
+        changed = materialise(changed, "changed-leaves")
+        trees = correct_trees(self.trees().where(F.col("part").isin(touched)).select("ticker", "shard", "tree"), changed)
+        kept = old.join(changed, ["ticker", "shard", "day_no"], "left_anti").select(new.columns)
+        rewrite_parts(trees.withColumn("part", part), f"{self.path}/trees", "part")
+        rewrite_parts(kept.unionByName(changed).withColumn("part", part), f"{self.path}/leaves", "part")
+        return changed
+
+
+def stored_trees(spark: SparkSession, returns: DataFrame, calendar: DataFrame, later, path: str | None = None) -> TreeStore:
+    """The store after two runs: one with the rows for which ``later`` is not true, and one, that opens it anew, with the others."""
+    path = path or scratch_path(spark, "trees")
+    late = F.coalesce(later, F.lit(False))
+    TreeStore(spark, path).extend(daily_leaves(returns.where(~late), calendar))
+    store = TreeStore(spark, path)
+    store.extend(daily_leaves(returns.where(late), calendar))
+    return store
+
+
 def p4_trailing(spark, sf_dir):
+    """The days of the calendar's last year are taken in by a second run."""
     returns, calendar = read_table(spark, sf_dir, "daily_returns"), trading_calendar(read_table(spark, sf_dir, "market_days"))
-    return trailing(build_trees(daily_leaves(returns, calendar)), spans(returns, calendar), calendar)
+    last = calendar.agg(F.date_sub(F.max("trade_date"), 365)).first()[0]
+    store = stored_trees(spark, returns, calendar, F.col("trade_date") > F.lit(last))
+    return trailing(store.trees().select("ticker", "shard", "tree"), spans(returns, calendar), calendar)
 
 
 def p4_found(spark, sf_dir):
@@ -224,15 +281,15 @@ def p4_totals(spark, sf_dir):
 
 
 def p4_late_corrections(spark, sf_dir):
-    """Trees from rows loaded in time, corrected by the late ones: the same totals as from all rows at once.
-
-    A correction is the leaf that all rows give for a day a late row touches.
-    """
+    """Totals from stored trees of the rows loaded in time, corrected by a second run that sees only the late rows."""
     returns, calendar = read_table(spark, sf_dir, "daily_returns"), trading_calendar(read_table(spark, sf_dir, "market_days"))
-    late = F.datediff("loaded_at", "trade_date") > 2
-    in_time = daily_leaves(returns.where(~F.coalesce(late, F.lit(True))), calendar)
-    touched = returns.where(F.coalesce(late, F.lit(True))).select(canonical_ticker(F.col("ticker")).alias("ticker"), "trade_date").distinct().join(F.broadcast(calendar), "trade_date").select("ticker", "day_no")
-    corrections = daily_leaves(returns, calendar).join(touched, ["ticker", "day_no"])
-    trees = correct_trees(build_trees(in_time), corrections)
-    t = trailing(trees, spans(returns, calendar), calendar)
+    store = stored_trees(spark, returns, calendar, F.coalesce(F.datediff("loaded_at", "trade_date") > 2, F.lit(True)))
+    t = trailing(store.trees().select("ticker", "shard", "tree"), spans(returns, calendar), calendar)
     return t.select("ticker", "trade_date", F.col("days_back").cast("bigint").alias("days_back"), F.col("usable").cast("bigint").alias("usable"), F.round("total", 6).alias("total"))
+
+
+def p4_long_windows(spark, sf_dir):
+    """Totals over 250 trading days, which reach over several shards."""
+    returns, calendar = read_table(spark, sf_dir, "daily_returns"), trading_calendar(read_table(spark, sf_dir, "market_days"))
+    t = trailing(build_trees(daily_leaves(returns, calendar)), spans(returns, calendar), calendar, (250,))
+    return t.select("ticker", "trade_date", F.col("usable").cast("bigint").alias("usable"), F.round("total", 6).alias("total"))

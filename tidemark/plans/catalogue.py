@@ -64,6 +64,7 @@ query(_KNOWN + " SELECT call_id, ticker, event_date, shares_staleness, price_lag
 query(_TRAIL + " SELECT tk AS ticker, strftime(trade_date, '%Y-%m-%d') AS trade_date FROM w WHERE d = 20 AND days = 20 AND u < 12")(trailing.p4_found)
 query(_TRAIL + " SELECT tk AS ticker, trade_date, d::BIGINT AS days_back, days::BIGINT AS days, u::BIGINT AS usable, round(t, 8) AS total, round(av, 12) AS average, round(sd, 8) AS volatility, round(be, 4) AS beta FROM w")(trailing.p4_totals)
 query(_TRAIL + " SELECT tk AS ticker, trade_date, d::BIGINT AS days_back, u::BIGINT AS usable, round(t, 6) AS total FROM w")(trailing.p4_late_corrections)
+query(_TRAIL.split("w AS (SELECT")[0] + "w AS (SELECT tk, trade_date, count(x) OVER v AS u, coalesce(sum(x) OVER v, 0) AS t FROM g WINDOW v AS (PARTITION BY tk ORDER BY n ROWS 249 PRECEDING)) SELECT tk AS ticker, trade_date, u::BIGINT AS usable, round(t, 6) AS total FROM w")(trailing.p4_long_windows)
 
 # ---- event study -------------------------------------------------------------------
 

@@ -71,6 +71,23 @@ def discard(spark: SparkSession, *stages: DataFrame | str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def rewrite_parts(df: DataFrame, path: str, parts: str, name: str = "parts") -> None:
+    """Puts ``df`` in the place of the partitions of ``path`` it holds rows of; all others stay as they are.
+
+    The new rows are staged first, so ``df`` may read the table it changes; they are rebalanced by
+    partition, large ones over several tasks.
+    """
+    spark = df.sparkSession
+    staged = materialise(df.hint("rebalance", parts), name)
+    staged.write.partitionBy(parts).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    discard(spark, staged)
+
+
 def data_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 
