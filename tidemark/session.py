@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -50,17 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", **tallies: Column) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     Cuts the lineage: later stages, and re-runs after a lost executor, start
-    from the files. Unlike ``cache`` it costs no executor memory.
+    from the files. Unlike ``cache`` it costs no executor memory. ``tallies`` are
+    aggregates taken on the way, without a pass of their own, and kept as ``_tallies``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    seen = Observation() if tallies else None
+    (df.observe(seen, *[c.alias(k) for k, c in tallies.items()]) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
+    out._tidemark_path, out._tallies = path, seen.get if seen else {}
     return out
 
 
