@@ -49,10 +49,36 @@ def _tables(spark):
 
 def test_linked_tickers(spark):
     u, calls, q = _tables(spark)
-    got = sorted(tuple(r) for r in c.linked_tickers(c.ticker_links(u, calls, q)[0], u).collect())
+    table = c.connected_components(c.ticker_links(u, calls, q)).withColumnRenamed("root", "component")
+    got = sorted(tuple(r) for r in c.linked_tickers(table, u).collect())
     assert got == [(a, b) for i, a in enumerate("ABCD") for b in "ABCD"[i + 1 :]]
 
 
+def test_look_up_with_hot_keys(spark):
+    d = spark.createDataFrame([("hot", i) for i in range(300)] + [("b", 1), ("miss", 2), (None, 3)] + [("lost", i) for i in range(40)], "k string, v int")
+    t = spark.createDataFrame([("hot", 1), ("b", 2), ("unused", 3)], "on string, x int")
+    want = {("hot", 1): 300, ("b", 2): 1, ("miss", None): 1, (None, None): 1, ("lost", None): 40}
+    for hot_rows in (1000, 20):
+        got = c.look_up(d, "k", t, "on", hot_rows=hot_rows)
+        assert got.columns == ["k", "v", "x"] and {(r["k"], r["x"]): r["count"] for r in got.groupBy("k", "x").count().collect()} == want
+        assert c.look_up(d, "k", t, "on", "inner", hot_rows=hot_rows).count() == 301
+
+
+def test_a_later_run_opens_the_stored_table(spark, tmp_path):
+    path, none = f"file://{tmp_path}/components", spark.createDataFrame([], "a string, b string")
+    w = lambda **k: spark.createDataFrame(list(k.items()) or [("x", 1)], "node string, weight long")
+    assert c.ComponentStore(spark, path).table() is None
+    links = lambda *e: spark.createDataFrame(list(e), "a string, b string")
+    one = {r["node"]: r for r in c.ComponentStore(spark, path).extend(w(A=5, B=5, C=5), links(("A", "call:1"), ("B", "call:2"), ("C", "call:3")), _targets(spark)).collect()}
+    two = {r["node"]: r for r in c.ComponentStore(spark, path).extend(w(A=2, D=3), links(("D", "call:1"), ("D", "cik:9")), _targets(spark)).collect()}
+    assert c.ComponentStore(spark, path).versions() == 2 and two["D"]["component"] == two["A"]["component"] == two["cik:9"]["component"]
+    assert two["D"]["split"] == two["A"]["split"] == one["A"]["split"] and two["A"]["weight"] == 7 and two["A"]["state"] == "kept" and two["B"]["split"] == one["B"]["split"]
+    same = {r["node"]: r["component"] for r in c.ComponentStore(spark, path).extend(w(A=0), none, _targets(spark)).collect()}
+    assert same == {k: r["component"] for k, r in two.items()}
+    (tmp_path / "components" / "v000003" / "_SUCCESS").unlink()  # a run cut short leaves the version before
+    assert c.ComponentStore(spark, path).versions() == 2
+
+
 TARGETS = [("train", 0.7), ("val", 0.15), ("test", 0.15)]
 
 
