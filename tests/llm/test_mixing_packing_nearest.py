@@ -38,13 +38,21 @@ def _brute(left, right, tol=n.TOLERANCE_S):
     return out
 
 
-@pytest.mark.parametrize("slice_rows", [10_000, 90])
-def test_the_stream_finds_what_brute_force_finds(spark, slice_rows):
-    left, right = _random(slice_rows)
-    got = {r["left_id"]: r["right_id"] for r in n.replay(spark, _sides(spark, left, right), slice_rows=slice_rows).collect()}
+@pytest.mark.parametrize("slices", [1, 4])
+def test_the_stream_finds_what_brute_force_finds(spark, slices):
+    left, right = _random(slices)
+    got = {r["left_id"]: r["right_id"] for r in n.replay(spark, _sides(spark, left, right), slices=slices).collect()}
     assert got == _brute(left, right)
 
 
+def test_state_is_evicted_on_the_way(spark, monkeypatch):
+    monkeypatch.setattr(n, "GROUP_ROWS", 10)  # 400 groups: nearly one for each entity and slot
+    left = [(f"e{i % 40}", f"l{i}", T0 + dt.timedelta(hours=i)) for i in range(2000)]
+    right = [(f"e{i % 40}", f"r{i}", T0 + dt.timedelta(hours=i, minutes=20)) for i in range(2000)]
+    out = n.replay(spark, _sides(spark, left, right), slices=5)
+    assert out.where("right_id is not null").count() == 2000 and len(out._state_rows) >= 5 and out._state_rows[-1] == 0 and 0 < max(out._state_rows) < 200, out._state_rows
+
+
 def test_ties_and_the_edge_of_the_tolerance(spark):
     h = lambda x: T0 + dt.timedelta(hours=x)
     left = [("a", "tie", h(100)), ("b", "edge", h(100)), ("c", "beyond", h(100))]

@@ -12,6 +12,7 @@ small entities share one state instead of costing a call each.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ SLOT_TOLERANCES = 2
 LATENESS = "0 seconds"
 #: Rows of one state group of a replay.
 GROUP_ROWS = 1000
-#: Rows of one replayed slice; a larger input is replayed in more slices, in order of time.
-SLICE_ROWS = 4_000_000
+#: A finished table is replayed in so many slices of equal numbers of rows, in order of time, whatever its size.
+SLICES = 4
 EVENT = "entity string, side string, id string, us bigint, ts timestamp"
 #: The end mark; the last year that nanosecond stamps can hold. Rows at or behind it are left out.
 _END = "2261-01-01 00:00:00"
@@ -98,22 +99,23 @@ def nearest_in_stream(events: DataFrame, tolerance_s: int = TOLERANCE_S, latenes
     return spread.groupBy("grp").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replay(spark: SparkSession, events: DataFrame, tolerance_s: int = TOLERANCE_S, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def replay(spark: SparkSession, events: DataFrame, tolerance_s: int = TOLERANCE_S, slices: int = SLICES) -> DataFrame:
     """Runs the streaming operator over a finished table and returns what it emitted.
 
-    The table is fed in slices of about ``slice_rows`` rows in order of time, one
-    run of the same checkpointed query per slice, so that state is evicted on the
-    way; an end mark far in the future lets the watermark pass every horizon.
-    Files and checkpoint lie in the shared folder.
+    The table is fed in ``slices`` of about equal numbers of rows in order of time, a
+    micro-batch each of one checkpointed query: as the watermark moves, rows come out and
+    state is evicted on the way, so that it holds the rows near the watermark only. An end mark
+    far in the future lets the watermark pass every horizon. How many groups held state after each
+    batch is kept as ``_state_rows``. Files and checkpoint lie in the shared folder.
     """
-    staged = materialise(events, "sides")
-    n = staged.count()
+    staged = materialise(events, "sides", n=F.count(F.lit(1)))
+    n = staged._tallies["n"]
     groups = max(8, n // GROUP_ROWS)
-    parts = max(1, -(-n // slice_rows))
-    cuts = staged.select(F.percentile_approx("us", [i / parts for i in range(1, parts)])).first()[0] if parts > 1 else []
+    cuts = (staged.select(F.percentile_approx("us", [i / slices for i in range(1, slices)])).first()[0] or []) if slices > 1 else []
     edges = [None, *sorted(set(cuts)), None]
     source, sink, log = (scratch_path(spark, x) for x in ("stream-in", "stream-out", "stream-log"))
     end = spark.range(1).select(F.lit(None).cast("string").alias("entity"), F.lit("E").alias("side"), F.lit(None).cast("string").alias("id"), F.lit(0).cast("bigint").alias("us"), F.to_timestamp(F.lit(_END)).alias("ts"))
+    held: list[int] = []
     for low, high in zip(edges, edges[1:]):
         part = staged if low is None else staged.where(F.col("us") >= low)
         part = part if high is None else part.where(F.col("us") < high)
@@ -123,8 +125,11 @@ def replay(spark: SparkSession, events: DataFrame, tolerance_s: int = TOLERANCE_
         stream = spark.readStream.schema(EVENT).parquet(source)
         query = nearest_in_stream(stream, tolerance_s, groups=groups).writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
+        held += [sum(op["numRowsTotal"] for op in json.loads(p.json)["stateOperators"]) for p in query.recentProgress]
     discard(spark, staged, source, log)
-    return spark.read.schema(_OUT).parquet(sink).where("entity is not null")
+    out = spark.read.schema(_OUT).parquet(sink).where("entity is not null")
+    out._state_rows = held
+    return out
 
 
 def call_reports(calls: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:

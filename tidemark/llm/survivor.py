@@ -84,9 +84,14 @@ def p7_found(spark, sf_dir):
 
 
 def p7_golden(spark, sf_dir):
-    """One record per call with the best known fields and the whole best text."""
-    g = golden_fields(_grouped(spark, sf_dir))
-    texts = read_table(spark, sf_dir, "transcript_record").where("record_key is not null").groupBy(F.col("record_key").alias("transcript_key")).agg(
-        F.max_by(F.struct("transcript", "structured_content"), F.coalesce("ingested_at", F.timestamp_seconds(F.lit(0)))).alias("t")
-    )
+    """One record per call with the best known fields and the whole best text.
+
+    The winners are known first, by keys alone; only the texts of their latest delivery are exchanged.
+    """
+    g = materialise(golden_fields(_grouped(spark, sf_dir)), "golden")
+    at = F.coalesce("ingested_at", F.timestamp_seconds(F.lit(0)))
+    rows = read_table(spark, sf_dir, "transcript_record").where("record_key is not null").join(g.select(F.col("transcript_key").alias("record_key")).where("record_key is not null"), "record_key", "left_semi")
+    last = rows.groupBy("record_key").agg(F.max(at).alias("__at"))
+    rows = rows.select("record_key", at.alias("__at"), "transcript", "structured_content").join(last, ["record_key", "__at"], "left_semi")
+    texts = rows.groupBy(F.col("record_key").alias("transcript_key")).agg(F.any_value(F.struct("transcript", "structured_content")).alias("t"))
     return g.join(texts, "transcript_key", "left").select(*g.columns, "t.transcript", "t.structured_content")
