@@ -37,6 +37,25 @@ def canonical_ticker(c: Column) -> Column:
     return F.nullif(t, F.lit(""))
 
 
+#: Listings of one company under another symbol.
+TICKER_ALIASES = {"GOOG": "GOOGL", "FB": "META"}
+
+
+def aliased_ticker(c: Column) -> Column:
+    """The canonical ticker under its company's one symbol."""
+    t = canonical_ticker(c)
+    out = t
+    for old, new in TICKER_ALIASES.items():
+        out = F.when(t == old, new).otherwise(out)
+    return out
+
+
+def ticker_list(c: Column) -> Column:
+    """The distinct tickers of a comma list, in order of first naming; blanks name nobody, null gives an empty list."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: aliased_ticker(x))
+    return F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))
+
+
 def parse_day(c: Column) -> Column:
     """A date out of the declared forms (a time of day is dropped); null if none fits."""
     t = squeeze(c)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +51,21 @@ class Ridge:
         b = np.array(rest[at:], float)
         coef = {a: np.linalg.solve(gram + a * np.eye(k), b) for a in self.alphas}
         inv = {a: np.linalg.inv(gram + a * np.eye(k)) for a in self.alphas}
-        losses = []
-        for a in self.alphas:
-            pred = sum((x[i] * float(coef[a][i]) for i in range(k)), F.lit(float(ybar)))
-            lever = sum((x[i] * x[j] * float(inv[a][i, j]) for i in range(k) for j in range(k)), F.lit(1.0 / n))
-            losses.append(F.avg(F.pow((y - pred) / (1 - lever), 2)))
-        loo = t.agg(*losses).first()
-        self.loo = dict(zip(self.alphas, loo))
+        alphas = self.alphas
+
+        def errors(batches):
+            total = np.zeros(len(alphas))
+            for r in batches:
+                m = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in r.columns])
+                xs, ys = m[:, :-1], m[:, -1]
+                for j, al in enumerate(alphas):
+                    lever = 1.0 / n + ((xs @ inv[al]) * xs).sum(axis=1)
+                    total[j] += float((((ys - ybar - xs @ coef[al]) / (1.0 - lever)) ** 2).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(alphas))), pa.array(total)], ["j", "e"])
+
+        rows = t.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], y.alias("y")).mapInArrow(errors, "j bigint, e double")
+        loo = {r["j"]: r["e"] / n for r in rows.groupBy("j").agg(F.sum("e").alias("e")).collect()}
+        self.loo = {al: loo.get(j, float("inf")) for j, al in enumerate(alphas)}
         self.alpha = min(self.alphas, key=lambda a: self.loo[a])
         self.coef, self.intercept = coef[self.alpha], float(ybar)
         return self

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import asknown, asof, attribution, calendar, curation, fundamentals, latent, linear, metrics, pairing, parsing, pooling, splits, trailing, universe
 from tidemark.plans import bindings as b
+from tidemark.plans import pipelines
 from tidemark.plans.bindings import CALLS, CLOSES, FACTS, GRID, PAIRS, PREDICTIONS, RECORDS, REPORTS, SCORED, STRUCTURED, day_sql, norm_sql, ticker_sql
-from tidemark.session import read_table
+from tidemark.session import materialise, read_table
 from tidemark.streaming import windows
 
 _Q: dict[str, Callable] = {}
@@ -806,6 +807,98 @@ def windowed_totals(spark, d):
     return rnd(windows.windowed_totals(read_table(spark, d, "events")), 4, "total")
 
 
+# ---- composites ---------------------------------------------------------------------------------
+
+
+@query("WITH sh AS (" + _S["shares_asof"] + "), cl AS (" + _S["strict_prev_close"] + "), x AS (SELECT sh.call_id, sh.ticker, sh.event_date, shares, close, shares * close AS cap FROM sh LEFT JOIN cl USING (call_id)) SELECT call_id, ticker, event_date, shares, close, round(cap, 2) AS hist_market_cap, round(ln(cap), 8) AS hist_log_market_cap, CASE WHEN cap IS NOT NULL THEN round((rank() OVER (ORDER BY cap) + (count(*) OVER (PARTITION BY cap) - 1) / 2) / count(cap) OVER (), 8) END AS hist_market_cap_percentile FROM x")
+def market_caps(spark, d):
+    return rnd(rnd(pipelines.market_caps(shares_asof(spark, d), strict_prev_close(spark, d)), 8, "hist_log_market_cap", "hist_market_cap_percentile"), 2, "hist_market_cap")
+
+
+@query(f"WITH {PAIRS} SELECT call_id, concat_ws('::', call_id, coalesce(pair_index, 0)) AS pair_id, coalesce(pair_index, 0) AS pair_index, coalesce(question_text, '') AS question_text, coalesce(answer_text, '') AS answer_text FROM pairs")
+def pair_level(spark, d):
+    return pipelines.pair_level(b.pairs(spark, d))
+
+
+@query(f"WITH {PAIRS}, {CALLS} SELECT pair_id, ticker, event_date, car FROM (SELECT pair_id, call_id FROM pairs) JOIN calls USING (call_id)")
+def pair_call_fields(spark, d):
+    return pipelines.call_fields_in_pairs(b.pairs(spark, d).select("pair_id", "call_id"), b.calls(spark, d), ["ticker", "event_date", "car"]).select("pair_id", "ticker", "event_date", "car")
+
+
+_SEQ = ("question_char_len", "answer_char_len")
+
+
+@query(f"WITH {PAIRS}, st AS (SELECT avg(question_char_len) AS qm, stddev_pop(question_char_len) AS qs, avg(answer_char_len) AS am, stddev_pop(answer_char_len) AS sd FROM pairs WHERE event_date < DATE '2020-01-01') SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY pair_index, (question_char_len - qm) / qs NULLS FIRST, (answer_char_len - am) / sd NULLS FIRST) - 1 AS position, round((question_char_len - qm) / qs, 6) AS z_question, round((answer_char_len - am) / sd, 6) AS z_answer FROM pairs, st")
+def call_sequences(spark, d):
+    p = b.pairs(spark, d)
+    st = {r["column"]: (r["mean"], r["std"]) for r in pooling.scaler(p.where("event_date < date'2020-01-01'"), list(_SEQ)).collect()}
+    q = pipelines.call_sequences(p, list(_SEQ), st).select("call_id", F.posexplode("features").alias("position", "z"))
+    return q.select("call_id", F.col("position").cast("bigint").alias("position"), F.round(F.col("z")[0], 6).alias("z_question"), F.round(F.col("z")[1], 6).alias("z_answer"))
+
+
+@query(f"WITH {_ANNOTATED} SELECT a.call_id, round(avg(p.question_char_len), 6) AS pair_question_chars_mean, max(p.question_char_len)::BIGINT AS pair_question_chars_max, round(avg(a.answer_char_len), 6) AS pair_answer_chars_mean, max(a.answer_char_len)::BIGINT AS pair_answer_chars_max, round(avg(a.num_answer_turns), 6) AS pair_answer_turns_mean, max(a.num_answer_turns)::BIGINT AS pair_answer_turns_max, round(avg(answer_has_management_role::INT), 6) AS management_answer_rate, round(avg(answer_has_mixed_roles::INT), 6) AS mixed_answer_rate, round(avg(analyst_only::INT), 6) AS analyst_only_answer_rate, round(avg(answer_contains_question_mark::INT), 6) AS answer_question_mark_rate FROM ann a JOIN pairs p USING (pair_id) GROUP BY a.call_id")
+def text_features(spark, d):
+    t = pipelines.text_features(pairing.annotate(b.pairs(spark, d)))
+    return rnd(big(t, *[c for c in t.columns if c.endswith("_max")]), 6, *[c for c, k in t.dtypes if k == "double"])
+
+
+@query("WITH cs AS (" + _S["comp_suff"] + "), da AS (" + _S["deletion_auc"] + ") SELECT 'scores' AS method, count(*) AS rows, round(avg(comprehensiveness), 4) AS comprehensiveness, round(avg(sufficiency), 4) AS sufficiency, round(avg(auc), 4) AS deletion_auc FROM cs JOIN da USING (pair_id)")
+def explanation_means(spark, d):
+    m, _ = pipelines.explain(b.tokens(spark, d), "pair_id", {"scores": lambda r: r}, linear_scorer, 5)
+    return rnd(pipelines.method_means(m), 4, "comprehensiveness", "sufficiency", "deletion_auc")
+
+
+@query()
+def explanation_curves(spark, d):
+    """Mean deletion curves of two ways to score tokens: given scores, and integrated gradients of the scorer."""
+    ways = {"scores": lambda r: r, "integrated_gradients": lambda r: r.withColumn("scores", pipelines.integrated_gradients(F.col("tokens"), linear_scorer))}
+    return rnd(pipelines.mean_curves(pipelines.explain(b.tokens(spark, d), "pair_id", ways, linear_scorer, 5)[1]), 6, "score")
+
+
+@query("WITH q AS (" + _S["qa_extract"] + "), e AS (" + _S["event_car"] + "), sp AS (" + _S["time_split"] + f"), {RECORDS}, r AS (SELECT record_key AS call_id FROM records) SELECT count(*) AS rows FROM q JOIN e USING (call_id) JOIN r USING (call_id) WHERE has_window AND text <> ''")
+def model_ready_rows(spark, d):
+    """How many parsed records have question text and a return window of their own."""
+    q = pairing.extract_questions(b.turns(spark, d)).select("call_id", "text", "num_questions")
+    return pipelines.model_ready(q, _study(spark, d).select("call_id", "event_date", "car_horizon", F.col("label"), "has_window"), splits.time_split(b.calls(spark, d))).agg(F.count("*").alias("rows"))
+
+
+@query()
+def parse_layouts(spark, d):
+    """Turns by the layout of each record: segments, ruled sections, else colon lines."""
+    r = b.records(spark, d)
+    layout = F.when(F.size(F.coalesce("structured_content", F.array())) > 0, "structured").when(F.col("transcript").rlike("-{20,}"), "sections")
+    return pipelines.parse_by_source(r, "record_key", "transcript", "structured_content", layout)[1]
+
+
+def _ladder(spark, d):
+    c = _study(spark, d).where("has_window").select("call_id", "event_date", F.col("car_horizon").alias("target"), "label", *_FEATURES)
+    m = pooling.residual_pool(b.scored(spark, d), ["call_id"], "score")
+    return materialise(pooling.attach(c, m, ["mean_pair_residual", "max_pair_residual"]), "ladder")
+
+
+@query()
+def benchmark_ladder(spark, d):
+    """Out-of-fold measures of price, text and joint ridges, with their differences to the price rung."""
+    c = _ladder(spark, d)
+    rungs = {"price": _FEATURES, "text": ["mean_pair_residual", "max_pair_residual"], "price_text": [*_FEATURES, "mean_pair_residual", "max_pair_residual"]}
+    n = c.count()
+    f = splits.rolling_splits(c, max(n // 2, 1), max(n // 10, 1), max(n // 10, 1), max(n // 5, 1))
+    t = pipelines.benchmark_table(pipelines.benchmark_ladder(c, f, rungs, "target", "label"))
+    return pipelines.deltas(t, "price", ["auroc", "auprc", "accuracy", "spearman"])
+
+
+@query()
+def residual_pipeline(spark, d):
+    """Mean over folds and splits of the final predictions' measures: baseline, pair residuals, pooled and added."""
+    c = _ladder(spark, d).drop("mean_pair_residual", "max_pair_residual")
+    n = c.count()
+    f = splits.rolling_splits(c, max(n // 2, 1), max(n // 10, 1), max(n // 10, 1), max(n // 5, 1))
+    p = materialise(b.pairs(spark, d).select("call_id", "pair_id", "question_char_len", "answer_char_len", "num_answer_turns"), "pairs")
+    r = pipelines.residual_pipeline(c, p, f, _FEATURES, ["question_char_len", "answer_char_len", "num_answer_turns"], "target")
+    by = pipelines.fold_metrics(r, "target", ["fold", "split"])
+    return by.groupBy("split").agg(F.count("*").alias("folds"), *[F.avg(x).alias(x) for x in ("rows", "sign_accuracy", "rmse", "mae")])
+
+
 def queries() -> dict[str, Callable]:
     return dict(_Q)
 
