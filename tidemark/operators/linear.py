@@ -11,7 +11,9 @@ ALPHAS = tuple(10 ** (-3 + i / 2) for i in range(13))
 
 
 def available(train: DataFrame, features: list[str]) -> list[str]:
-    """Features that have a value in the training rows."""
+    """Features that have a value in the training rows; none of none."""
+    if not features:
+        return []
     n = train.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in features]).first()
     return [c for c in features if n[c]]
 
